@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.llm import bpe, decontaminate
+from waymark.llm import bpe, decontaminate, licenses, secrets, urls
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op4_secret_ledger(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets.find(table(spark, d, "documents").select("doc_id", "text"))
+    of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    base = [k.name for k in secrets.BASE]
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(of(*base)), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op5_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -24,6 +32,27 @@ def op5_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op7_license_join(spark: SparkSession, d: str) -> DataFrame:
+    found = licenses.find(table(spark, d, "documents").select("doc_id", "text"))
+    base, more = F.array_distinct(F.col("places.label")), F.col("blocks.label")
+    word = lambda f: f(F.col("places.word")).cast("long")
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        word(F.array_min).alias("first_word"),
+        word(F.array_max).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.array_distinct(F.concat(base, more))).alias("labels"),
+        "score",
+    )
+
+
+def op8_url_rules(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judge(table(spark, d, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     out = decontaminate.find(docs, table(spark, d, "benchmark"))
@@ -32,8 +61,15 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_secret_ledger": op4_secret_ledger,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_license_join": op7_license_join,
+    "op8_url_rules": op8_url_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_secret_ledger": secrets.sql(),
+    "op7_license_join": licenses.sql(),
+    "op8_url_rules": urls.sql(),
+}

@@ -5,13 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.llm import bpe, decontaminate, licenses, secrets, urls
+from waymark.llm import bpe, decontaminate, licenses, quality, secrets, urls
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_line_frequency(spark: SparkSession, d: str) -> DataFrame:
+    out = quality.judge(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", *quality.FIGURES, "base_failed", "kept", "removed_words")
+
+
 def op4_secret_ledger(spark: SparkSession, d: str) -> DataFrame:
     found = secrets.find(table(spark, d, "documents").select("doc_id", "text"))
     of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
@@ -61,6 +66,7 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_frequency": op2_line_frequency,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_license_join": op7_license_join,
@@ -69,6 +75,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_line_frequency": quality.sql(),
     "op4_secret_ledger": secrets.sql(),
     "op7_license_join": licenses.sql(),
     "op8_url_rules": urls.sql(),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.llm import bpe, decontaminate, licenses, quality, secrets, urls
+from waymark.llm import bpe, decontaminate, licenses, near_dedup, quality, secrets, urls
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_line_frequency(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", *quality.FIGURES, "base_failed", "kept", "removed_words")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.groups(table(spark, d, "documents").select("doc_id", "text"), near_dedup.Settings(size=3, percent=85))
+
+
 def op4_secret_ledger(spark: SparkSession, d: str) -> DataFrame:
     found = secrets.find(table(spark, d, "documents").select("doc_id", "text"))
     of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
@@ -67,6 +71,7 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_frequency": op2_line_frequency,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_license_join": op7_license_join,

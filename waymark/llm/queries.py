@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.llm import bpe, decontaminate, licenses, near_dedup, quality, secrets, urls
+from waymark.llm import bpe, common, decontaminate, licenses, near_dedup, quality, secrets, token_files, urls
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -62,6 +64,15 @@ def op8_url_rules(spark: SparkSession, d: str) -> DataFrame:
     return urls.judge(table(spark, d, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_perfect_hash_files(spark: SparkSession, d: str) -> DataFrame:
+    folder = f"{common.shared_dir(spark)}/tokens-{uuid.uuid4()}"
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    out = token_files.read(spark, folder)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select(F.col("key").alias("doc_id"), "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     out = decontaminate.find(docs, table(spark, d, "benchmark"))
@@ -76,6 +87,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op7_license_join": op7_license_join,
     "op8_url_rules": op8_url_rules,
+    "op9_perfect_hash_files": op9_perfect_hash_files,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 

@@ -80,7 +80,7 @@ def near(rng, base, k):
     return out
 
 
-@pytest.mark.parametrize("block", [256, 7])
+@pytest.mark.parametrize("block", [1024, 7])
 def test_chains_and_stars(spark, block):
     """Copies that are linked with a centre or their neighbours only, whose smallest member is none of these."""
     rng = random.Random(block)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.functions import broadcast
 
 #: Rows that an operator holds as Python objects at a time.
 SLICE_ROWS = 256
@@ -85,6 +86,16 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Rows of keys (some 100 bytes each) up to which they are broadcast; more are joined by a shuffle.
+FEW = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and counted, with a hint to broadcast it only if it has few rows."""
+    df = cut(df)
+    return broadcast(df) if df.count() <= FEW else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder, so that later steps neither recompute it nor depend on an executor."""
     sc = df.sparkSession.sparkContext

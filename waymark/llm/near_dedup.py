@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import cut, lists, with_columns
+from waymark.llm.common import cut, lists, small, with_columns
 from waymark.llm.components import components
 from waymark.llm.sketch import bands, set_ids, shingle_sets, sketches
 
@@ -26,10 +26,8 @@ class Settings:
     percent: int = 80
     coordinates: int = 128
     rows: int = 4
-    #: Members of a bucket that are compared with each other in one task.
-    block: int = 256
-    #: Keys up to which a set of documents to look up is broadcast (16 bytes each); beyond, it is joined.
-    broadcast: int = 500_000
+    #: Members of a bucket that are compared with as many others in one task.
+    block: int = 1024
 
 
 def sketch(docs: DataFrame, s: Settings, text: str) -> DataFrame:
@@ -55,11 +53,9 @@ def _sets(docs: DataFrame, s: Settings, text: str) -> DataFrame:
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, s: Settings, text: str) -> DataFrame:
     """node, shingles of the wanted nodes, each from one of the rows that have it."""
-    rows = cut(nodes.join(wanted, "node").select("__id", "__tid"))
-    few = rows.count() <= s.broadcast
+    r = small(nodes.join(wanted, "node").select(F.col("__id").alias("__i"), F.col("__tid").alias("__t")))
     base = docs.select("__id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tid"), text)
-    r = rows.select(F.col("__id").alias("__i"), F.col("__tid").alias("__t"))
-    found = base.join(F.broadcast(r) if few else r, (F.col("__tid") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__i")), "left_semi")
+    found = base.join(r, (F.col("__tid") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__i")), "left_semi")
     return _sets(found.select(text), s, text).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -75,36 +71,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(linked(shared, F.size("x"), F.size("y"), s.percent)).select("a", "b")
 
 
-def _union(sets: list[np.ndarray], label: np.ndarray, pair_of, percent: int) -> list[tuple[int, int]]:
-    """Links between members of different labels, and no more than tell which belong together."""
-    out = []
-    size = np.array([len(x) for x in sets])
-    for i in range(len(sets)):
-        for j in pair_of(i, np.flatnonzero((label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))):
-            if label[i] != label[j] and linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), size[i], size[j], percent):
-                label[label == label[j]] = label[i]
-                out.append((i, int(j)))
+def _union(asking: list[np.ndarray], label: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (place in asking, place in sets) between members of different labels, enough to tell which belong together.
+
+    Each asking set counts what it shares with all others at once, over the lists of the sets that hold a shingle.
+    """
+    out, size = [], np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    joined: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    for i, (own, c) in enumerate(zip(asking, label.tolist(), strict=True)):
+        a, b = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero((labels != c) & linked(shared, len(own), size, percent)).tolist():
+            x, y = root(c), root(int(labels[j]))
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                out.append((i, j))
     return out
 
 
 def _within(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """All links that matter between members (key, node, component) of a bucket that are not together yet.
 
-    A bucket is dealt into blocks, and each two of its blocks meet in one task, where members of
-    different components are compared by their whole sets until these are found to be together.
+    The members outside a bucket's largest component ask, and all are asked: each block of the ones meets each block of
+    the others in one task, where whole sets are compared. So n members of which m ask make n * ceil(m / block) +
+    m * ceil(n / block) rows.
     """
-    sized = members.join(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks")), "key")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = sized.select("key", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component").join(sets, "node")
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda c: F.ceil(c / s.block).cast("int")
+    most = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), blocks(F.sum("n")).alias("asked"), blocks(F.sum("n") - F.max("n")).alias("asking"))
+    all_ = members.join(most, "key")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = all_.where("component <> largest").select("key", block("asking").alias("i"), each("asked").alias("j"), F.lit(True).alias("asks"), "node", "component")
+    told = all_.select("key", block("asked").alias("j"), each("asking").alias("i"), F.lit(False).alias("asks"), "node", "component")
+    dealt = asks.unionByName(told).join(sets, "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        own, node = pdf["own"].to_numpy(), pdf["node"].to_numpy()
-        arrays = [np.sort(np.asarray(x, dtype=np.int64)) for x in pdf["shingles"]]
-        after = (lambda k, c: c[c > k]) if i == j else (lambda k, c: c[own[c] == j] if own[k] == i else c[:0])
-        found = _union(arrays, pdf["component"].to_numpy().copy(), after, s.percent)
-        return pd.DataFrame({"a": [node[x] for x, _ in found], "b": [node[y] for _, y in found]}, dtype="int64")
+        q, d = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        arrays = lambda x: [np.asarray(v, dtype=np.int64) for v in x["shingles"]]
+        found = _union(arrays(q), q["component"].to_numpy(), arrays(d), d["component"].to_numpy(), s.percent) if len(q) and len(d) else []
+        a, b = q["node"].to_numpy(), d["node"].to_numpy()
+        return pd.DataFrame({"a": [a[x] for x, _ in found], "b": [b[y] for _, y in found]}, dtype="int64")
 
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
@@ -165,7 +183,11 @@ def apply(docs: DataFrame, settings: Settings = Settings(), text: str = "text",
     """
     key = lambda i, t: [F.xxhash64(F.lit(k), i, i.isNull(), t).alias(f"__k{k}") for k in (1, 2)]
     keys = ["__k1", "__k2"]
-    out = _groups(docs, settings, text, doc_id).where(F.col("component_id").eqNullSafe(F.col("__id")))
-    good = out.select(*key(F.col("__id"), F.col("__tid"))).distinct()
+    out = _groups(docs, settings, text, doc_id).select(*key(F.col("__id"), F.col("__tid")), F.col("component_id").eqNullSafe(F.col("__id")).alias("kept"))
+    odd = cut(out.groupBy(*keys).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"))
     keyed = docs.select(*docs.columns, *key(F.col(doc_id), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
-    return keyed.join(good, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    single = keyed.join(small(odd.select(*keys)), keys, "left_anti")
+    repeated = odd.where("kept")
+    if repeated.head() is not None:
+        single = single.unionByName(keyed.join(small(repeated.select(*keys)), keys, "left_semi").dropDuplicates(keys))
+    return single.select(*docs.columns)

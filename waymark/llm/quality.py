@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waymark.llm.common import cut, lists, with_columns
+from waymark.llm.common import cut, lists, small, with_columns
 
 WINDOW = 8
 _WHITE = b" \t\n\v\f\r"
@@ -140,14 +140,16 @@ def judge(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
 
 
 def apply(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
-    """The kept documents without their boilerplate lines; columns as they were."""
-    keyed = docs.withColumns({"__host": F.coalesce(F.col(host), F.lit("")), "__a": text_id(F.col(text))[0], "__b": text_id(F.col(text))[1]})
-    good = keyed.join(verdicts(docs, limits, text, host).where("kept").select(*KEY, "removed"), KEY)
+    """The kept documents without their boilerplate lines; columns as they were. Texts are not moved while the verdicts
+    that change something are few enough to broadcast."""
+    change = small(verdicts(docs, limits, text, host).where(~F.col("kept") | (F.size("removed") > 0)).select(*KEY, F.when(F.col("kept"), F.col("removed")).alias("__removed"), F.col("kept").alias("__kept")))
+    keyed = docs.select(*docs.columns, F.coalesce(F.col(host), F.lit("")).alias("__host"), *text_id(F.col(text)))
+    good = keyed.join(change, KEY, "left").where("coalesce(__kept, true)")
     schema = docs.schema
 
     def run(batches):
         for batch in batches:
-            texts, removed = batch.column(text).to_pylist(), batch.column("removed").to_pylist()
+            texts, removed = batch.column(text).to_pylist(), batch.column("__removed").to_pylist()
             for k, gone in enumerate(removed):
                 if gone:
                     gone = {*gone}
@@ -155,7 +157,7 @@ def apply(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
                     texts[k] = "\n".join(x for x in lines if not (w := x.encode().split()) or line_id(w) not in gone)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in schema.names], names=schema.names)
 
-    return good.select(*docs.columns, "removed").mapInArrow(run, schema)
+    return good.select(*docs.columns, "__removed").mapInArrow(run, schema)
 
 
 def sql(limits: Limits = Limits()) -> str:

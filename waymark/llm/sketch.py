@@ -74,7 +74,7 @@ def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     x = np.concatenate(sets)
     doc = np.repeat(np.arange(n), size)
     for i in range(2 * t):
-        v = mix(x + _A * np.uint64(2 * i + 1))
+        v = mix(x + np.uint64((int(_A) * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF))
         at = doc * t + ((v >> np.uint64(32)) * np.uint64(t) >> np.uint64(32)).astype(np.int64) if i < t else doc * t + (i - t)
         free = out[at] == _EMPTY
         np.minimum.at(out, at[free], v[free] & ~np.uint64(1))

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from itertools import chain
 
 import numpy as np
@@ -34,8 +35,8 @@ from waymark.llm.sketch import mix
 
 #: Bytes of text in one shard, and in one partition of the writer, about.
 SHARD_BYTES, PART_BYTES = 8 << 20, 32 << 20
-#: Distinct pieces of text, of up to so many characters, whose ids a worker keeps.
-KEPT_PIECES, PIECE = 500_000, 48
+#: Distinct pieces of text, of up to so many characters, whose ids a worker keeps; of twice as many at most.
+KEPT_PIECES, PIECE = 350_000, 48
 #: Shards up to which their starts are broadcast (16 bytes each); beyond, they are joined.
 BROADCAST = 500_000
 
@@ -50,6 +51,20 @@ def tokenizer(path: str):
 
 
 _BREAK = "\x01"
+#: Words that neither normalisation changes nor the pre-tokenizer parts: lower-case letters up to U+00FF.
+_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+
+
+@functools.lru_cache(maxsize=2)
+def plain_tokenizer(path: str):
+    """The same vocabulary for simple words with spaces between them: the steps that leave these as they are are left out."""
+    from tokenizers import Tokenizer, pre_tokenizers as pre
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    t.normalizer = None
+    t.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return t
 
 
 class Pieces:
@@ -62,31 +77,44 @@ class Pieces:
 
     def __init__(self, path: str, width: int):
         self.tokenizer, self.kind = tokenizer(path), f"<u{width}"
+        self.plain = plain_tokenizer(path)
         self.held: dict[str, bytes] = {"": b""}
-        at = self._ids(_BREAK)
-        self.sep = at[0] if len(at) == 1 else None
+        self.before: dict[str, bytes] = {}
+        at = self._ids(self.tokenizer, _BREAK)
+        self.sep = at[0] if len(at) == 1 and (at == self._ids(self.plain, _BREAK)).all() else None
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+    def _ids(self, t, text: str) -> np.ndarray:
+        return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
-    def _learn(self, new: set[str]) -> None:
-        marked = [p for p in new if p[-1] in ".,;:!?" and p[-2:-1].isalpha()]
-        plain = new.difference(marked).union(q for p in marked for q in (p[:-1], p[-1]) if q not in self.held)
-        odd = [p for p in plain if _BREAK in p] if self.sep is not None else [*plain]
-        self.held.update((p, self._ids(p).tobytes()) for p in odd)
-        if together := [*plain.difference(odd)]:
-            ids = self._ids(f" {_BREAK} ".join(together))
+    def _together(self, t, some: list[str]) -> None:
+        if some:
+            ids = self._ids(t, f" {_BREAK} ".join(some))
             ends = np.flatnonzero(ids == self.sep)
             raw, w = ids.tobytes(), ids.itemsize
             cuts = zip([0, *((ends + 1) * w).tolist()], [*(ends * w).tolist(), len(raw)], strict=True)
-            self.held.update((p, raw[i:j]) for p, (i, j) in zip(together, cuts, strict=True))
+            self.held.update((p, raw[i:j]) for p, (i, j) in zip(some, cuts, strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        marked = [p for p in new if p[-1] in ".,;:!?" and p[-2:-1].isalpha()]
+        parts = new.difference(marked).union(q for p in marked for q in (p[:-1], p[-1]) if q not in self.held)
+        odd = [p for p in parts if _BREAK in p] if self.sep is not None else [*parts]
+        self.held.update((p, self._ids(self.tokenizer, p).tobytes()) for p in odd)
+        parts.difference_update(odd)
+        simple = [p for p in parts if _SIMPLE.fullmatch(p)]
+        self._together(self.plain, simple)
+        self._together(self.tokenizer, [*parts.difference(simple)])
         self.held.update((p, self.held[p[:-1]] + self.held[p[-1]]) for p in marked)
 
     def of(self, texts: list) -> list[bytes]:
         split = [t.encode().lower().decode().replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.held) > KEPT_PIECES:
-            self.held = {"": b""}
-        if new := {*chain.from_iterable(split)}.difference(self.held):
+            # What has been used since the last time is kept for another round.
+            self.held, self.before = {"": b""}, self.held
+        new = {*chain.from_iterable(split)}.difference(self.held)
+        if again := [p for p in new if p in self.before]:
+            self.held.update((p, self.before[p]) for p in again)
+            new.difference_update(again)
+        if new:
             self._learn(new)
         out = [b"".join(map(self.held.__getitem__, x)) for x in split]
         for p in new:

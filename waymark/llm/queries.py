@@ -7,13 +7,18 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.llm import bpe, common, decontaminate, licenses, near_dedup, quality, secrets, token_files, urls
+from waymark.llm import bpe, common, decontaminate, licenses, maxent, near_dedup, quality, secrets, token_files, urls
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_maxent_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return maxent.score(docs, maxent.is_held_out(F.col("doc_id")))
+
+
 def op2_line_frequency(spark: SparkSession, d: str) -> DataFrame:
     out = quality.judge(table(spark, d, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", *quality.FIGURES, "base_failed", "kept", "removed_words")
@@ -81,6 +86,7 @@ def op10_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_maxent_scores": op1_maxent_scores,
     "op2_line_frequency": op2_line_frequency,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_secret_ledger": op4_secret_ledger,

@@ -42,7 +42,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, decoded again to see that nothing is lost."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern), path, pattern)
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     same = F.col("raw") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     ids = F.when(same, F.col("ids")).otherwise(F.raise_error(F.concat(F.lit("decoded text differs: "), F.col("doc_id").cast("string"))))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids"))

@@ -40,6 +40,11 @@ def test_pieces_are_safe():
         assert sum((enc.encode_ordinary(p) for p in bpe.pieces(text, 5)), []) == enc.encode_ordinary(text)
 
 
+def test_decode_alone(spark):
+    df = cases.odd(spark).select("text")
+    assert all(bytes(r.raw) == (r.text or "").encode() for r in bpe.decode(bpe.encode(df, *ARGS), *ARGS).collect())
+
+
 def test_unknown_id_fails(spark):
     with pytest.raises(Exception):  # noqa: B017
         bpe.decode(spark.createDataFrame([([999_999],)], "ids array<int>"), *ARGS).collect()

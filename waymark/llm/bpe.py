@@ -62,6 +62,16 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     return with_columns(df, text, f"{ids} array<int>", _encode, lambda: (path, pattern))
 
 
+def _both(args: tuple[str, str], texts: list) -> list[pa.Array]:
+    ids = _encode(args, texts)
+    return ids + _decode(args, ids[0].to_pylist())
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", raw: str = "raw") -> DataFrame:
+    """:func:`encode` and then :func:`decode` of its ids, in one pass."""
+    return with_columns(df, text, f"{ids} array<int>, {raw} binary", _both, lambda: (path, pattern))
+
+
 def _decode(args: tuple[str, str], rows: list) -> list[pa.Array]:
     enc = encoding(*args)
     return [pa.array([enc.decode_bytes(r) if r is not None else None for r in rows], pa.binary())]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -30,6 +32,13 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(ALNUM).split() if text else []
 
 
+def release() -> None:
+    """Gives memory that a task has freed back, as its worker lives on while others of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _length(column: pa.Array) -> pa.Array:
     return pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
 
@@ -66,6 +75,7 @@ def with_columns(df: DataFrame, text: str, more: str | T.StructType, f: Callable
             for s in slices(batch, text):
                 out = f(*own, s.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([s.column(n) for n in at] + out, names=[x.name for x in schema])
+        release()
 
     return df.select(*at).mapInArrow(run, schema)
 

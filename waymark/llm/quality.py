@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from waymark.llm.common import cut, lists, small, with_columns
+from waymark.llm.common import cut, lists, release, slices, small, with_columns
 
 WINDOW = 8
 _WHITE = b" \t\n\v\f\r"
@@ -148,7 +148,7 @@ def apply(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, text) for b in batches):
             texts, removed = batch.column(text).to_pylist(), batch.column("__removed").to_pylist()
             for k, gone in enumerate(removed):
                 if gone:
@@ -156,6 +156,7 @@ def apply(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
                     lines = texts[k].split("\n")
                     texts[k] = "\n".join(x for x in lines if not (w := x.encode().split()) or line_id(w) not in gone)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in schema.names], names=schema.names)
+        release()
 
     return good.select(*docs.columns, "__removed").mapInArrow(run, schema)
 

@@ -39,7 +39,7 @@ def op4_secret_ledger(spark: SparkSession, d: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, d, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    out = bpe.round_trip(docs, path, pattern)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

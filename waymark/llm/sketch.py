@@ -12,7 +12,7 @@ from waymark.llm.common import space_words
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Word hashes that a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
 
 
 class _Hashes(dict):

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waymark.llm import bpe, common, decontaminate, licenses, maxent, near_dedup, quality, secrets, token_files, urls
+from waymark.llm import bpe, common, decontaminate, licenses, maxent, near_dedup, quality, secrets, suffix_dedup, token_files, urls
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op5_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, d, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_license_join(spark: SparkSession, d: str) -> DataFrame:
     found = licenses.find(table(spark, d, "documents").select("doc_id", "text"))
     base, more = F.array_distinct(F.col("places.label")), F.col("blocks.label")
@@ -91,6 +97,7 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_license_join": op7_license_join,
     "op8_url_rules": op8_url_rules,
     "op9_perfect_hash_files": op9_perfect_hash_files,

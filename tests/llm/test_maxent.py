@@ -57,6 +57,14 @@ def test_small_head_gives_the_same_base(spark, head):
     assert [x[:5] for x in got] == [x[:5] for x in want] and np.allclose([x[5] for x in got], [x[5] for x in want])
 
 
+def test_sums():
+    rng = np.random.default_rng(1)
+    n = np.array([1, 8, 9, 2, 30, 7])
+    start, g = np.cumsum(n) - n, rng.standard_normal((20, 3))
+    at = rng.integers(0, 20, n.sum())
+    assert np.allclose(M._sums(g, at, start, n), np.add.reduceat(g[at], start, axis=0))
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all words of the training texts, and one that was never seen for each class, after several contexts."""
     rows = [(" ".join(f"{'abc'[i % 3]}{(i + j) % 9}{'xyz'[i % 3]}" for j in range(30)),) for i in range(60)]
@@ -70,6 +78,6 @@ def test_probabilities_sum_to_one(spark):
         for k in [*c, *range(M.CLASSES)]:
             x = np.append(ids, np.uint64(k))
             rows_, before = m.features(x, np.array([0]))
-            p = np.exp(m.class_logs(rows_[:, -1:])[0, k & 63]) * 10 ** m.words[before[-1], m.places(x)[1][-1]]
+            p = 10 ** m.class_logs(rows_[:, -1:], np.array([k & 63]))[0] * 10 ** m.words[before[-1], m.places(x)[1][-1]]
             total += p * ((c.get(k, 0) + 1) / 10 ** m.rest[k & 63] if m.places(x)[1][-1] >= s.vocabulary else 1)
         assert abs(total - 1) < 1e-4

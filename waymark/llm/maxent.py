@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import cut, lists, slices, space_words, with_columns
+from waymark.llm.common import cut, lists, release, slices, space_words, with_columns
 from waymark.llm.sketch import mix
 
 CLASSES = 64
@@ -42,10 +42,10 @@ class Settings:
     vocabulary: int = 1 << 14
     #: Weight rows of each kind of feature, as a power of two.
     row_bits: int = 12
-    batch: int = 4096
+    batch: int = 8192
     rate: float = 0.3
-    #: Words that a task counts before it hands on what it has.
-    counted: int = 400_000
+    #: Tokens that a task counts before it hands on their numbers.
+    counted: int = 3_000_000
     #: Bytes of text for one task of training, about; each sends its whole gradient once.
     train_bytes: int = 48 << 20
     #: Parts of a gradient, and gradients added in one task.
@@ -58,7 +58,7 @@ class _Words(dict):
     """Hash and class of words, kept for a bounded number of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 500_000:
             self.clear()
         c = zlib.crc32((word.rstrip(_MARKS) or word)[-3:]) % CLASSES
         h = self[word] = xxhash.xxh64_intdigest(word) >> 6 << 6 | c
@@ -112,22 +112,24 @@ def count_words(docs: DataFrame, text: str, s: Settings) -> DataFrame:
     """h, c: the tokens of all texts, counted in each task first."""
 
     def run(batches):
-        held: dict[int, int] = {}
+        held, n = [], 0
         for piece in chain.from_iterable(slices(b, text) for b in batches):
-            ids, n = np.unique(token_ids(piece.column(text).to_pylist())[0], return_counts=True)
-            for h, k in zip(ids.view(np.int64).tolist(), n.tolist(), strict=True):
-                held[h] = held.get(h, 0) + k
-            if len(held) > s.counted:
-                yield _counted(held)
-                held = {}
+            held.append(token_ids(piece.column(text).to_pylist())[0])
+            n += len(held[-1])
+            if n > s.counted:
+                yield from _counted(held)
+                held, n = [], 0
         if held:
-            yield _counted(held)
+            yield from _counted(held)
+        release()
 
     return docs.select(text).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _counted(held: dict[int, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], names=["h", "c"])
+def _counted(held: list[np.ndarray]):
+    h, c = np.unique(np.concatenate(held), return_counts=True)
+    for i in range(0, len(h), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000].view(np.int64)), pa.array(c[i : i + 50_000])], names=["h", "c"])
 
 
 def head_of(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +182,32 @@ class Model:
         row = lambda x, k: (mix(x * _U(2 * FEATURES + 1) + _U(k)) >> _U(64 - bits)).astype(np.int64) + (k << bits)
         return np.stack([row(one, 0), row(two, 1), row(mix(two) + one, 2)]), (one & _U(CLASSES - 1)).astype(np.int64)
 
-    def class_logs(self, rows: np.ndarray) -> np.ndarray:
-        """Natural logarithms of all classes' probabilities."""
-        z = self.weights[rows[0]] + self.weights[rows[1]] + self.weights[rows[2]] + self.bias
+    def class_scores(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of all classes, the largest 0."""
+        z = self.weights[rows[0]]
+        for k in range(1, FEATURES):
+            z += self.weights[rows[k]]
+        z += self.bias
         z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z
+
+    def class_logs(self, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of the given classes."""
+        z = self.class_scores(rows)
+        own = z[np.arange(len(z)), cls]
+        return (own - np.log(np.exp(z, out=z).sum(axis=1))) * np.float32(1 / np.log(10))
+
+
+def _sums(g: np.ndarray, at: np.ndarray, start: np.ndarray, n: np.ndarray, few: int = 8) -> np.ndarray:
+    """Sums of the rows g[at] over n from each start. Most sums have few rows: their first rows are taken together, then
+    their second ones, and so on; the others are summed one by one."""
+    out = g[at[start]]
+    for k in range(1, few):
+        s = np.flatnonzero((n > k) & (n <= few))
+        out[s] += g[at[start[s] + k]]
+    for s in np.flatnonzero(n > few).tolist():
+        out[s] = g[at[start[s] : start[s] + n[s]]].sum(axis=0)
+    return out
 
 
 def _train(m: Model, texts_of, out: dict) -> None:
@@ -199,15 +222,20 @@ def _train(m: Model, texts_of, out: dict) -> None:
         out["words"] += np.bincount(before * width + m.places(ids)[1], minlength=CLASSES * width)
         for a in range(0, len(ids), s.batch):
             r, c = rows[:, a : a + s.batch], cls[a : a + s.batch]
-            g = -np.exp(m.class_logs(r))
+            g = m.class_scores(r)
+            np.exp(g, out=g)
+            g *= (-1 / g.sum(axis=1))[:, None]
             g[np.arange(len(c)), c] += 1
-            for k in range(FEATURES):
-                order = np.argsort(r[k])
-                at = r[k][order]
-                start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                own, n = at[start], np.diff(np.append(start, len(at)))
-                seen[own] += n
-                m.weights[own] += np.add.reduceat(g[order], start, axis=0) * (s.rate / np.sqrt(1 + seen[own]))[:, None]
+            # All features at once: the rows of different kinds are different.
+            flat = r.ravel()
+            order = np.argsort(flat.astype(np.uint16) if len(seen) <= 1 << 16 else flat, kind="stable")
+            at = flat[order]
+            start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            own, n = at[start], np.diff(np.append(start, len(at)))
+            seen[own] += n
+            step = _sums(g, order % len(c), start, n)
+            step *= (s.rate / np.sqrt(1 + seen[own]))[:, None]
+            m.weights[own] += step
 
 
 def train(docs: DataFrame, text: str, counts: DataFrame, s: Settings, text_bytes: int) -> Model:
@@ -303,8 +331,7 @@ def _score(m: Model, texts: list) -> list[pa.Array]:
     cls = (ids & _U(CLASSES - 1)).astype(np.int64)
     score = m.words[before, place].astype(np.float64)
     for a in range(0, len(ids), s.batch):
-        z = m.class_logs(rows[:, a : a + s.batch])
-        score[a : a + s.batch] += z[np.arange(len(z)), cls[a : a + s.batch]] / np.log(10)
+        score[a : a + s.batch] += m.class_logs(rows[:, a : a + s.batch], cls[a : a + s.batch])
     known = at >= 0
     base = np.zeros(len(ids))
     base[known] = np.log10(m.head_counts[at[known]] + 1.0)

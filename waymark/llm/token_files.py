@@ -36,7 +36,7 @@ from waymark.llm.sketch import mix
 #: Bytes of text in one shard, and in one partition of the writer, about.
 SHARD_BYTES, PART_BYTES = 8 << 20, 32 << 20
 #: Distinct pieces of text, of up to so many characters, whose ids a worker keeps; of twice as many at most.
-KEPT_PIECES, PIECE = 350_000, 48
+KEPT_PIECES, PIECE = 450_000, 48
 #: Shards up to which their starts are broadcast (16 bytes each); beyond, they are joined.
 BROADCAST = 500_000
 
@@ -55,6 +55,15 @@ _BREAK = "\x01"
 _SIMPLE = re.compile("[a-zß-öø-ÿ]+")
 
 
+def _lower(text: str) -> str:
+    """Lower case as far as no rule depends on what stands around: up to U+00FF where nothing beyond occurs, else A-Z."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.encode().lower().decode()
+    return text.lower()
+
+
 @functools.lru_cache(maxsize=2)
 def plain_tokenizer(path: str):
     """The same vocabulary for simple words with spaces between them: the steps that leave these as they are are left out."""
@@ -106,7 +115,7 @@ class Pieces:
         self.held.update((p, self.held[p[:-1]] + self.held[p[-1]]) for p in marked)
 
     def of(self, texts: list) -> list[bytes]:
-        split = [t.encode().lower().decode().replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [_lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.held) > KEPT_PIECES:
             # What has been used since the last time is kept for another round.
             self.held, self.before = {"": b""}, self.held

@@ -39,9 +39,9 @@ class Settings:
     #: Words whose counts every task knows; the counts of all others come by a join.
     head: int = 1 << 18
     #: Words with a place of their own in their class.
-    vocabulary: int = 1 << 14
+    vocabulary: int = 1 << 15
     #: Weight rows of each kind of feature, as a power of two.
-    row_bits: int = 12
+    row_bits: int = 13
     batch: int = 8192
     rate: float = 0.3
     #: Tokens that a task counts before it hands on their numbers.
@@ -51,7 +51,7 @@ class Settings:
     #: Parts of a gradient, and gradients added in one task.
     chunks: int = 32
     fan_in: int = 32
-    smoothing: float = 20.0
+    smoothing: float = 2.0
 
 
 class _Words(dict):
@@ -297,6 +297,11 @@ def train(docs: DataFrame, text: str, counts: DataFrame, s: Settings, text_bytes
     return m
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 def _fit_words(n: np.ndarray, cls: np.ndarray, s: Settings, turns: int = 30) -> np.ndarray:
     """Weights of words and of words after classes that make the counts likely, as log10 probabilities.
 
@@ -310,11 +315,9 @@ def _fit_words(n: np.ndarray, cls: np.ndarray, s: Settings, turns: int = 30) ->
         z = np.broadcast_to(np.log((x.sum(axis=0) + 0.5) / (x.sum() + 0.5 * len(own))), x.shape)
         u, total = np.zeros(x.shape), x.sum(axis=1, keepdims=True)
         for _ in range(turns):
-            p = np.exp(z + u)
-            p /= p.sum(axis=1, keepdims=True)
-            u += 0.5 * (x - total * p - s.smoothing * u) / (total * p + s.smoothing)
-        p = np.exp(z + u)
-        out[:, own] = np.log10(p / p.sum(axis=1, keepdims=True))
+            p = _softmax(z + u)
+            u += np.clip(0.5 * (x - total * p - s.smoothing * u) / (total * p + s.smoothing), -1, 1)
+        out[:, own] = np.log10(np.maximum(_softmax(z + u), 1e-30))
     return out
 
 

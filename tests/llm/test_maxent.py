@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -16,10 +17,10 @@ D = "/root/testdata/sf0.01"
 
 def base(rows):
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    c = Counter(w for i, t in rows if not out(i) for w in [*space_words(t), M.END])
+    c = Counter(w for i, t in rows if not out(i) for w in [*space_words(t), "end"])
     n, v = sum(c.values()), len(c)
     for i, t in rows:
-        w = [*space_words(t), M.END]
+        w = [*space_words(t), "end"]
         yield i, out(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
 
 
@@ -57,6 +58,17 @@ def test_small_head_gives_the_same_base(spark, head):
     assert [x[:5] for x in got] == [x[:5] for x in want] and np.allclose([x[5] for x in got], [x[5] for x in want])
 
 
+def test_token_ids():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "B", "é", ".", "ab", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\x00"]) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, "", " ", "x" * 600_000, " lead", "trail "]
+    ids, sizes = M.token_ids(texts)
+    words = [w for t in texts for w in [*space_words(t), "end"]]
+    assert len(ids) == len(words) and sizes.tolist() == [len(space_words(t)) + 1 for t in texts]
+    assert len({*zip(ids.tolist(), words, strict=True)}) == len({*ids.tolist()}) == len({*words})
+    one = lambda w: int(M.token_ids([w])[0][0])
+    assert one("xxing") % 64 == one("Ying.") % 64 == one("ring,\"") % 64
+
+
 def test_sums():
     rng = np.random.default_rng(1)
     n = np.array([1, 8, 9, 2, 30, 7])
@@ -74,7 +86,7 @@ def test_probabilities_sum_to_one(spark):
     m = M.train(df, "text", counts, s, 1000)
     c = {r.h & (2**64 - 1): r.c for r in counts.collect()}
     for context in ([], [b"a1x"], [b"a1x", b"new"]):
-        ids, total = np.array([M._words[w] for w in context], dtype=np.uint64), 0.0
+        ids, total = np.array([M.token_ids([w.decode()])[0][0] for w in context], dtype=np.uint64), 0.0
         for k in [*c, *range(M.CLASSES)]:
             x = np.append(ids, np.uint64(k))
             rows_, before = m.features(x, np.array([0]))

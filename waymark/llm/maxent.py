@@ -12,22 +12,19 @@ A word's class comes from its ending, so every word has one, seen or not. Words
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import cut, lists, release, slices, space_words, with_columns
+from waymark.llm.common import cut, lists, release, slices, with_columns
 from waymark.llm.sketch import mix
 
 CLASSES = 64
 FEATURES = 3
-END = b"\n"  # no word has one
 _MARKS = b".,;:!?\"')"
 _U = np.uint64
 
@@ -54,32 +51,78 @@ class Settings:
     smoothing: float = 2.0
 
 
-class _Words(dict):
-    """Hash and class of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        c = zlib.crc32((word.rstrip(_MARKS) or word)[-3:]) % CLASSES
-        h = self[word] = xxhash.xxh64_intdigest(word) >> 6 << 6 | c
-        return h
-
-
-_words = _Words()
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+_WHITE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_MARK = np.array([b in _MARKS for b in range(256)])
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of texts that are hashed at a time.
+_BLOCK = 1 << 18
+
+
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far has bytes."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=_U)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            m = max(n, 2 * _BLOCK)
+            make = lambda b: np.concatenate([np.ones(1, dtype=_U), np.cumprod(np.full(m, b, dtype=_U))])
+            self.up, self.down = make(_U(_BASE)), make(_U(pow(_BASE, -1, 1 << 64)))
+        return self.up, self.down
+
+
+_powers = _Powers()
+#: The end of a text; no word's bytes can be none.
+END = mix(np.array([_BASE], dtype=_U))[0] >> _U(6) << _U(6)
+
+
+def _block_ids(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = _LOWER[np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)]
+    white = _WHITE[raw]
+    turn = np.flatnonzero(white[1:] != white[:-1]) + 1
+    if not white[0]:
+        turn = np.concatenate([[0], turn])
+    start, end = turn[::2], turn[1::2]
+    # A word's hash is a sum over its bytes, the same wherever it stands, as a difference of sums up to a place.
+    up, down = _powers.of(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=_U)
+    np.cumsum(_BYTE[raw] * down[: len(raw)], out=sums[1:])
+    h = mix((sums[end] - sums[start]) * up[start])
+    # Its class: the last three bytes before up to two marks at its end.
+    last = end - 1
+    for _ in range(2):
+        last -= _MARK[raw[last]] & (last > start)
+    tail = raw[last].astype(_U)
+    for k in (1, 2):
+        tail = tail * _U(257) + np.where(last - k >= start, raw[np.maximum(last - k, 0)], 0).astype(_U)
+    ids = h >> _U(6) << _U(6) | (mix(tail) >> _U(58))
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    sizes = np.diff(np.searchsorted(start, ends), prepend=0)
+    return np.insert(ids, np.cumsum(sizes), END), sizes + 1
 
 
 def token_ids(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words and one end, and the number of tokens of each text."""
-    words = [[*space_words(t), END] for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    return np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), dtype=_U, count=int(sizes.sum())), sizes
+    out, block, size = [], [], 0
+    for t in texts:
+        block.append((t or "").encode())
+        size += len(block[-1])
+        if size >= _BLOCK:
+            out.append(_block_ids(block))
+            block, size = [], 0
+    if block:
+        out.append(_block_ids(block))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 class Table:
     """From hashes to places in a list of them, by open addressing."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.bits = max(4, (2 * len(keys)).bit_length())
         size = 1 << self.bits
         self.keys, self.at = np.zeros(size + 64, dtype=_U), np.full(size + 64, -1, dtype=np.int32)
         left, step = np.arange(len(keys)), 0
@@ -341,9 +384,13 @@ def _score(m: Model, texts: list) -> list[pa.Array]:
     other = place >= s.vocabulary
     score[other] += base[other] - m.rest[cls[other]]
     per = lambda w: np.bincount(doc, weights=w, minlength=len(texts))
-    key, n = np.unique(np.stack([doc[~known].astype(_U), ids[~known]]), axis=1, return_counts=True) if not known.all() else (np.zeros((2, 0), dtype=_U), np.zeros(0, dtype=np.int64))
-    ends = np.searchsorted(key[0], np.arange(len(texts)), side="right")
-    return [pa.array(sizes), pa.array(per(known).astype(np.int64)), pa.array(per(base)), pa.array(per(score)), lists(key[1].view(np.int64), ends), lists(n.astype(np.int32), ends)]
+    d, h = doc[~known], ids[~known]
+    o = np.lexsort((h, d))
+    d, h = d[o], h[o]
+    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]))[: len(d)])
+    n = np.diff(np.append(first, len(d)))
+    ends = np.searchsorted(d[first], np.arange(len(texts)), side="right")
+    return [pa.array(sizes), pa.array(per(known).astype(np.int64)), pa.array(per(base)), pa.array(per(score)), lists(h[first].view(np.int64), ends), lists(n.astype(np.int32), ends)]
 
 
 def is_held_out(doc_id) -> F.Column:

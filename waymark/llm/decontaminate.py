@@ -223,3 +223,19 @@ def remove(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, **how)
     ends = F.concat(F.col("__found_spans.start"), F.array(F.length(text)))
     left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substr(F.col(text), a + 1, b - a)), "")
     return found.withColumn(text, F.when(F.col("__found_n_hit") > 0, left).otherwise(F.col(text))).select(*columns)
+
+
+def sql(window: int = WINDOW) -> str:
+    """DuckDB SQL for the digest columns of all documents."""
+    words = lambda c: f"list_filter(string_split_regex(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {words("text")} AS w FROM documents),
+item AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words("text")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least({window}, len(w)) AS n FROM item WHERE len(w) > 0))),
+g AS (SELECT k, n, i, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT k, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT k, i, n, item FROM g JOIN win USING (n, g)),
+words AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest(range(i, i + n)) AS j FROM hit) GROUP BY k),
+items AS (SELECT k, list_sort(list(DISTINCT item)) AS l FROM hit GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(len(coalesce(l, [])) AS BIGINT) AS n_items, sha256(array_to_string(coalesce(l, []), ',')) AS items_sha256, len(coalesce(l, [])) >= 2 AS contaminated
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+"""

@@ -191,3 +191,21 @@ def apply(docs: DataFrame, settings: Settings = Settings(), text: str = "text",
     if repeated.head() is not None:
         single = single.unionByName(keyed.join(small(repeated.select(*keys)), keys, "left_semi").dropDuplicates(keys))
     return single.select(*docs.columns)
+
+
+def sql(size: int, percent: int) -> str:
+    """DuckDB SQL for the groups: every two different sets that share a shingle are compared."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT k, array_to_string(w[i:i+{size - 1}], ' ') AS e FROM (SELECT k, w, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT d.k, doc_id, coalesce(s, []) AS s FROM d LEFT JOIN (SELECT k, list_sort(list(DISTINCT e)) AS s FROM grams GROUP BY k) g ON d.k = g.k),
+ids AS (SELECT k, doc_id, len(s) AS n, s, dense_rank() OVER (ORDER BY s) AS c FROM s),
+sets AS (SELECT c, any_value(n) AS n, any_value(s) AS s FROM ids WHERE n > 0 GROUP BY c),
+x AS (SELECT c, n, unnest(s) AS e FROM sets),
+link AS (SELECT a.c AS a, b.c AS b FROM x a JOIN x b ON a.e = b.e AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT c, c AS m FROM sets UNION SELECT b, m FROM reach JOIN edge ON a = c),
+least AS (SELECT m AS c, min(doc_id) AS component_id FROM reach JOIN (SELECT c, min(doc_id) AS doc_id FROM ids GROUP BY c) USING (c) GROUP BY m)
+SELECT doc_id, CAST(ids.n AS BIGINT) AS n_shingles, CASE WHEN ids.n = 0 THEN doc_id ELSE component_id END AS component_id, (CASE WHEN ids.n = 0 THEN doc_id ELSE component_id END) IS NOT DISTINCT FROM doc_id AS kept
+FROM ids LEFT JOIN least USING (c)
+"""

@@ -106,7 +106,10 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_line_frequency": quality.sql(),
+    "op3_minhash_near_dedup": near_dedup.sql(3, 85),
     "op4_secret_ledger": secrets.sql(),
+    "op6_suffix_dedup": suffix_dedup.sql(),
     "op7_license_join": licenses.sql(),
     "op8_url_rules": urls.sql(),
+    "op10_benchmark_decontamination": decontaminate.sql(),
 }

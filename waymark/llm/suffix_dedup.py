@@ -402,3 +402,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     gone = marked.where(copy).select(F.when(~F.col("none"), F.col("d")).alias(doc_id), F.octet_length("text").cast("long").alias("n_bytes"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end"))).cast(SPANS)
     return named.unionByName(gone.select(doc_id, "n_bytes", whole.alias("spans"), F.lit("").cast("binary").alias("kept")))
+
+
+def sql(n: int = LENGTH) -> str:
+    """DuckDB SQL for the digest columns, from every window of every text."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT k, doc_id, i, b[i + 1:i + {n}] AS w FROM (SELECT k, doc_id, b, unnest(range(0, octet_length(b) - {n - 1})) AS i FROM d)),
+first AS (SELECT w, min(doc_id) AS f FROM win GROUP BY w),
+hit AS (SELECT k, i FROM win JOIN first USING (w) WHERE f < doc_id OR (doc_id IS NULL AND f IS NOT NULL)),
+run AS (SELECT k, min(i) AS a, max(i) + {n} AS b FROM (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS r FROM (SELECT k, i, CAST(i > coalesce(lag(i) OVER (PARTITION BY k ORDER BY i) + {n}, -1) AS INT) AS new FROM hit)) GROUP BY k, r),
+gap AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS last FROM run),
+per AS (SELECT k, CAST(sum(gap.b - a) AS BIGINT) AS removed, count(*) AS runs, string_agg(hex(d.b[last + 1:a]), '' ORDER BY a) || hex(any_value(d.b)[max(gap.b) + 1:]) AS kept FROM gap JOIN d USING (k) GROUP BY k)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256 FROM d LEFT JOIN per USING (k)
+"""

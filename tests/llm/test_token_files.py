@@ -36,7 +36,7 @@ def test_odd(spark, tmp_path):
 
 def test_shards_and_lookup(spark, tmp_path):
     docs = spark.createDataFrame([(i * 7, f"text no {i} " * (i % 5)) for i in range(300)], "doc_id long, text string").repartition(3)
-    T.write(docs, str(tmp_path / "s"), PATH, 1, shard_bytes=500, part_bytes=3000)
+    T.write(docs, str(tmp_path / "s"), PATH, 1, shard_bytes=500, part_bytes=(3000, 3000))
     assert spark.read.parquet(str(tmp_path / "s/shards")).count() > 10
     rows = {r.key: (r.start, bytes(r.ids)) for r in T.read(spark, str(tmp_path / "s")).collect()}
     assert [rows[k][0] for k in sorted(rows)] == [x[1] for x in expected([(r.doc_id, r.text) for r in docs.collect()])]

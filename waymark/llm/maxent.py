@@ -43,8 +43,9 @@ class Settings:
     rate: float = 0.3
     #: Tokens that a task counts before it hands on their numbers.
     counted: int = 3_000_000
-    #: Bytes of text for one task of training, about; each sends its whole gradient once.
-    train_bytes: int = 48 << 20
+    #: Bytes of text for one task of training: a 5,000th of the input within these bounds. Each sends its whole gradient
+    #: once (15 MB), so gradients come to a third of a small input and to a hundredth of a very large one.
+    train_bytes: tuple[int, int] = (48 << 20, 1 << 30)
     #: Parts of a gradient, and gradients added in one task.
     chunks: int = 32
     fan_in: int = 32
@@ -324,7 +325,7 @@ def train(docs: DataFrame, text: str, counts: DataFrame, s: Settings, text_bytes
             total += np.frombuffer(v, dtype=np.float32)
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "task": pdf["task"].iloc[:1], "v": [total.tobytes()]})
 
-    tasks = max(spark.sparkContext.defaultParallelism, -(-text_bytes // s.train_bytes))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-text_bytes // min(max(text_bytes // 5000, s.train_bytes[0]), s.train_bytes[1])))
     tasks = max(1, min(tasks, docs.rdd.getNumPartitions()))
     sums = docs.select(text).coalesce(tasks).mapInArrow(run, "chunk int, task int, v binary")
     while tasks > 1:

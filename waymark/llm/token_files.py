@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from waymark.llm.common import slices
 from waymark.llm.sketch import mix
 
-#: Bytes of text in one shard, and in one partition of the writer, about.
-SHARD_BYTES, PART_BYTES = 8 << 20, 32 << 20
+#: Bytes of text in one shard, about; and in one partition of the writer: a 10,000th of the input within these bounds.
+SHARD_BYTES, PART_BYTES = 8 << 20, (32 << 20, 256 << 20)
 #: Distinct pieces of text, of up to so many characters, whose ids a worker keeps; of twice as many at most.
 KEPT_PIECES, PIECE = 450_000, 48
 #: Shards up to which their starts are broadcast (16 bytes each); beyond, they are joined.
@@ -199,7 +199,7 @@ def _shard(part: int, no: int, keys: list, ids: list[bytes], width: int) -> pa.R
     return pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, row, strict=True))], schema=_ARROW)
 
 
-def write(docs: DataFrame, folder: str, path: str, end: int, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> None:
+def write(docs: DataFrame, folder: str, path: str, end: int, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES, part_bytes: tuple[int, int] = PART_BYTES) -> None:
     """Encodes each whole text, appends ``end``, and writes the store in ascending order of keys.
 
     Texts are dealt by ranges of key and text hash, so that a key of many rows is split too, and sorted;
@@ -208,7 +208,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, text: str = "text",
     """
     size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(text).alias("__h"), F.col(text).alias("__text"))
-    dealt = rows.repartitionByRange(max(1, math.ceil(size / part_bytes)), "__key", "__h").sortWithinPartitions("__key", "__h").select("__key", "__text")
+    dealt = rows.repartitionByRange(max(1, math.ceil(size / min(max(size // 10_000, part_bytes[0]), part_bytes[1]))), "__key", "__h").sortWithinPartitions("__key", "__h").select("__key", "__text")
 
     def run(batches):
         width = 2 if tokenizer(path).get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4

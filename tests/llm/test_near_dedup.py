@@ -97,6 +97,21 @@ def test_chains_and_stars(spark, block):
     check(spark, df, N.Settings(block=block))
 
 
+def test_short_sets_lose_no_link(monkeypatch, spark):
+    """With ends of few bits nearly all sets seem alike: what they find is verified, and whole sets then settle the rest."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 500, 60)) for _ in range(50)] + [np.unique(np.r_[np.arange(60), rng.integers(0, 500, 4)]) for _ in range(6)]
+    n, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    want = {(i, j) for i in range(56) for j in range(i) if N.linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j], 80)}
+    exact = N._union(sets, n, label, sets, n, label, 80)
+    assert {frozenset(x) for x in exact} <= {frozenset(x) for x in want} and len(exact) >= 5
+    ends = [np.unique(x.astype(np.uint32) % 64) for x in sets]
+    assert len(N._union(ends, n, label, ends, n, label, 80)) >= len(exact)
+    real = N._sets
+    monkeypatch.setattr(N, "_sets", lambda *a: real(*a).withColumn("short", N.F.lit(np.arange(3, dtype=np.uint32).tobytes())))
+    test_chains_and_stars(spark, 1024)
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 7, 100, 5000)]

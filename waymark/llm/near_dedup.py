@@ -46,17 +46,18 @@ def sketch(docs: DataFrame, s: Settings, text: str) -> DataFrame:
 def _sets(docs: DataFrame, s: Settings, text: str) -> DataFrame:
     def run(texts: list) -> list[pa.Array]:
         sets = shingle_sets(texts, s.size)
-        return [pa.array(set_ids(sets)[0]), lists(np.concatenate(sets).view(np.int64), np.cumsum([len(x) for x in sets]))]
+        short = pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in sets])
+        return [pa.array(set_ids(sets)[0]), lists(np.concatenate(sets).view(np.int64), np.cumsum([len(x) for x in sets])), short]
 
-    return with_columns(docs, text, "node long, shingles array<long>", run).select("node", "shingles")
+    return with_columns(docs, text, "node long, shingles array<long>, short binary", run).select("node", "shingles", "short")
 
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, s: Settings, text: str) -> DataFrame:
-    """node, shingles of the wanted nodes, each from one of the rows that have it."""
+    """node, shingles and their different 32-bit ends of the wanted nodes, each from one of the rows that have it."""
     r = small(nodes.join(wanted, "node").select(F.col("__id").alias("__i"), F.col("__tid").alias("__t")))
     base = docs.select("__id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tid"), text)
     found = base.join(r, (F.col("__tid") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__i")), "left_semi")
-    return _sets(found.select(text), s, text).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return _sets(found.select(text), s, text).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("short").alias("short"))
 
 
 def linked(shared, n, m, percent: int):
@@ -71,13 +72,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(linked(shared, F.size("x"), F.size("y"), s.percent)).select("a", "b")
 
 
-def _union(asking: list[np.ndarray], label: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _union(asking: list[np.ndarray], n: np.ndarray, label: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (place in asking, place in sets) between members of different labels, enough to tell which belong together.
 
-    Each asking set counts what it shares with all others at once, over the lists of the sets that hold a shingle.
+    asking, sets: different 32-bit ends of shingles; n, sizes: numbers of shingles. Each asking set counts what it shares
+    with all others at once, over the lists of the sets that hold a shingle. What two sets share is never more than the ends they
+    share and those ends that either has lost to equal ones, so no link is missed.
     """
-    out, size = [], np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    out, held = [], np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), held)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     joined: dict[int, int] = {}
@@ -89,10 +92,10 @@ def _union(asking: list[np.ndarray], label: np.ndarray, sets: list[np.ndarray],
 
     for i, (own, c) in enumerate(zip(asking, label.tolist(), strict=True)):
         a, b = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-        n = b - a
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(owner[at], minlength=len(sets))
-        for j in np.flatnonzero((labels != c) & linked(shared, len(own), size, percent)).tolist():
+        k = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+        shared = np.bincount(owner[at], minlength=len(sets)) + np.minimum(n[i] - len(own), sizes - held)
+        for j in np.flatnonzero((labels != c) & linked(shared, n[i], sizes, percent)).tolist():
             x, y = root(c), root(int(labels[j]))
             if x != y:
                 joined[max(x, y)] = min(x, y)
@@ -100,12 +103,12 @@ def _union(asking: list[np.ndarray], label: np.ndarray, sets: list[np.ndarray],
     return out
 
 
-def _within(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _within(members: DataFrame, sets: DataFrame, s: Settings, short: bool = True) -> DataFrame:
     """All links that matter between members (key, node, component) of a bucket that are not together yet.
 
     The members outside a bucket's largest component ask, and all are asked: each block of the ones meets each block of
     the others in one task, where whole sets are compared. So n members of which m ask make n * ceil(m / block) +
-    m * ceil(n / block) rows.
+    m * ceil(n / block) rows. short: sets go as 32-bit ends, and links have to be verified.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda c: F.ceil(c / s.block).cast("int")
@@ -115,16 +118,25 @@ def _within(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asks = all_.where("component <> largest").select("key", block("asking").alias("i"), each("asked").alias("j"), F.lit(True).alias("asks"), "node", "component")
     told = all_.select("key", block("asked").alias("j"), each("asking").alias("i"), F.lit(False).alias("asks"), "node", "component")
-    dealt = asks.unionByName(told).join(sets, "node")
+    dealt = asks.unionByName(told).join(sets.select("node", F.size("shingles").alias("n"), F.col("short" if short else "shingles").alias("x")), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, d = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        arrays = lambda x: [np.asarray(v, dtype=np.int64) for v in x["shingles"]]
-        found = _union(arrays(q), q["component"].to_numpy(), arrays(d), d["component"].to_numpy(), s.percent) if len(q) and len(d) else []
+        arrays = lambda x: [np.frombuffer(v, dtype=np.uint32) if short else np.asarray(v, dtype=np.int64) for v in x["x"]]
+        side = lambda x: (arrays(x), x["n"].to_numpy(), x["component"].to_numpy())
+        found = _union(*side(q), *side(d), s.percent) if len(q) and len(d) else []
         a, b = q["node"].to_numpy(), d["node"].to_numpy()
         return pd.DataFrame({"a": [a[x] for x, _ in found], "b": [b[y] for _, y in found]}, dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def _more_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links within buckets, found by 32-bit ends and verified by whole sets. Should one not hold, which only equal ends of
+    different shingles can bring about, what it has kept from being compared is compared by whole sets."""
+    found = cut(_within(members, sets, s))
+    good = cut(_verified(found, sets, s))
+    return good if good.count() == found.count() else cut(_within(members, sets, s, short=False))
 
 
 def groups(docs: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -149,14 +161,17 @@ def _groups(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
     base = own.withColumn("__tid", F.xxhash64(F.coalesce("__text", F.lit(""))))
     sig = cut(sketch(base, s, "__text").drop("__text"))
     first = F.struct(F.col("__id").isNull(), F.col("__id").alias("__id"), F.col("__tid").alias("__tid"))
-    nodes = cut(sig.where("n_shingles > 0").groupBy("node", "node2").agg(F.min(first).alias("f"), F.first("bands").alias("bands")).select("node", "f.__id", "f.__tid", "bands"))
-    spread = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    nodes = cut(sig.where("n_shingles > 0").groupBy("node", "node2").agg(F.min(first).alias("f"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")).select("node", "f.__id", "f.__tid", "bands", "size"))
+    spread = nodes.select("node", "size", F.explode("bands").alias("key"))
+    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.min_by("size", "node").alias("pivot_size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
     # Buckets of equal members are one; most copies share nearly all of their bands.
-    buckets = buckets.groupBy("n", "pivot", "members").agg(F.min("key").alias("key"))
-    members = cut(spread.join(buckets, "key").select("key", "node", "n", "pivot"))
-    pairs = cut(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    buckets = buckets.groupBy("n", "pivot", "pivot_size", "members").agg(F.min("key").alias("key"))
+    members = cut(spread.join(buckets, "key").select("key", "node", "size", "n", "pivot", "pivot_size"))
+    # Sets of too different sizes cannot be similar enough.
+    near = 100 * F.least("size", "pivot_size") >= s.percent * F.greatest("size", "pivot_size")
+    pairs = cut(members.where((F.col("node") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    ends = [pairs.select(F.col(c).alias("node")) for c in "ab"]
+    wanted = members.where("n > 2").select("node").unionByName(ends[0]).unionByName(ends[1]).distinct()
     sets = cut(_looked_up(own, wanted, nodes.select("node", "__id", "__tid"), s, "__text"))
     links = cut(_verified(pairs, sets, s))
     found = components(links)
@@ -165,7 +180,7 @@ def _groups(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
     split = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     left = cut(at.join(split, "key").select("key", "node", "component"))
     if left.head() is not None:
-        more = cut(_within(left, sets, s))
+        more = _more_links(left, sets, s)
         if more.head() is not None:
             found = components(links.unionByName(more))
     known = nodes.select("node", "__id").join(found, "node", "left")

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from waymark.llm.common import slices
+from waymark.llm.common import release, slices
 from waymark.llm.sketch import mix
 
 #: Bytes of text in one shard, about; and in one partition of the writer: a 10,000th of the input within these bounds.
 SHARD_BYTES, PART_BYTES = 8 << 20, (32 << 20, 256 << 20)
 #: Distinct pieces of text, of up to so many characters, whose ids a worker keeps; of twice as many at most.
-KEPT_PIECES, PIECE = 450_000, 48
+KEPT_PIECES, PIECE = 225_000, 48
 #: Shards up to which their starts are broadcast (16 bytes each); beyond, they are joined.
 BROADCAST = 500_000
 
@@ -226,6 +226,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, text: str = "text",
                 size += len(t or "")
         if keys:
             yield _shard(part, no, keys, ids, width)
+        release()
 
     dealt.mapInArrow(run, SHARDS).write.parquet(f"{folder}/shards")
     shards = docs.sparkSession.read.schema(SHARDS).parquet(f"{folder}/shards").select("part", "no", "total")

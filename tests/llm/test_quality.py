@@ -40,6 +40,19 @@ def test_verdicts(spark):
     assert "Home" not in out[0].text and out[0].text.endswith("\n") and "Home" in out[200].text and out[0].kept == "x"
 
 
+def test_hot_host(spark):
+    """A line in 30 of a host's 400 different texts, less than a tenth of them, goes as it does on a small host."""
+    rng = random.Random(6)
+    prose = lambda k: " ".join(f"w{rng.randint(0, 10**6)}x" for _ in range(k))
+    foot = "All rights reserved by the owners of this page and its friends"
+    rows = [(i, f"{prose(40)}\n{foot}" if i < 30 else prose(40), "hot") for i in range(400)]
+    rows += [(500 + i, f"{prose(40)}\n{foot} rare", "hot") for i in range(19)]
+    got = {r.doc_id: r for r in Q.apply(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any("rights" in got[i].text for i in range(30)) and all("rights" in got[500 + i].text for i in range(19))
+    found = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(found[i].removed_words == 12 for i in range(30)) and all(found[500 + i].removed_words == 0 for i in range(19))
+
+
 def test_repeat_words():
     rng = random.Random(2)
     docs = [[rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 60))] for _ in range(200)]

@@ -22,13 +22,18 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 @dataclass(frozen=True)
 class Limits:
     """A line is boilerplate on its host if at least ``least`` different documents there have it, and at least
-    ``share`` of them. A document is depleted if more than ``depleted`` of its words are in such lines."""
+    ``share`` of them (0: their number alone counts). A document is depleted if more than ``depleted`` of its words are in
+    such lines."""
 
     least: int = 20
     share: float = 0.1
     depleted: float = 0.75
 
 
+#: The same number of documents at every size of a host: a share grows with the host without bound.
+ABSOLUTE = Limits(share=0.0)
+
+
 def repeat_words(words: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
     """For each document the number of words that stand in a window of words found twice or more in it."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -111,7 +116,7 @@ def boilerplate(lines: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame
     return per_line.join(per_host, "__host").where(F.col("n") >= limits.share * F.col("docs")).select("__host", "line")
 
 
-def verdicts(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
+def verdicts(docs: DataFrame, limits: Limits = ABSOLUTE, text: str = "text", host: str = "source") -> DataFrame:
     """One row for each different text of a host: figures, removed (line hashes), removed_words, kept.
 
     Texts are read once; figures and line hashes go to the shared folder. Lines are counted with partial sums,
@@ -126,7 +131,7 @@ def verdicts(docs: DataFrame, limits: Limits = Limits(), text: str = "text", hos
     return all_.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= limits.depleted * F.col("n_words")))
 
 
-def judge(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
+def judge(docs: DataFrame, limits: Limits = ABSOLUTE, text: str = "text", host: str = "source") -> DataFrame:
     """docs with the figures, base_failed, removed (hashes of its boilerplate lines), removed_words and kept.
 
     Verdicts are made for each different text of a host and joined to all rows that have it: rows of equal
@@ -139,7 +144,7 @@ def judge(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
     return keyed.join(verdicts(docs, limits, text, host), KEY, "left").select(*kept, *new)
 
 
-def apply(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
+def apply(docs: DataFrame, limits: Limits = ABSOLUTE, text: str = "text", host: str = "source") -> DataFrame:
     """The kept documents without their boilerplate lines; columns as they were. Texts are not moved while the verdicts
     that change something are few enough to broadcast."""
     change = small(verdicts(docs, limits, text, host).where(~F.col("kept") | (F.size("removed") > 0)).select(*KEY, F.when(F.col("kept"), F.col("removed")).alias("__removed"), F.col("kept").alias("__kept")))

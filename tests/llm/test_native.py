@@ -67,6 +67,28 @@ def test_redact(spark):
     assert sorted(map(tuple, secrets.redact(df).collect())) == [(1, "a [SECRET] b"), (2, None), (3, "clean"), (4, "é [SECRET]")]
 
 
+def test_redact_whole_key(spark):
+    """Keys with and without END, encrypted, with escaped line breaks, two in one text; the text around them stays."""
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = ["MIIEow+/" * 8] * 25 + ["kEy0=="]
+    key = "\n".join([head, *body, end])
+    texts = {
+        1: (f"a {key} b", "a [SECRET] b"),
+        2: ("\n".join(["a", head, *body, "", "More of the text."]), "a\n[SECRET]\n\nMore of the text."),
+        3: ("\r\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *body, end, "x"]), "[SECRET]\r\nx"),
+        4: ('{"k": "' + "\\n".join([head, *body, end]) + '\\n"}', '{"k": "[SECRET]\\n"}'),
+        5: (f"{key}\nand\n{key}\n", "[SECRET]\nand\n[SECRET]\n"),
+        6: (f"{head}\n{body[0]}\nMIIE", "[SECRET]"),
+        7: (f"{head} is how a key begins", "[SECRET] is how a key begins"),
+        8: (f"{head}\n{body[0]}\n{key}", "[SECRET]\n[SECRET]"),
+        9: (f"{head}\n" + "- a-b " * 100_000, "[SECRET]\n" + "- a-b " * 100_000),
+        10: ("\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *body]) + "\n\nEnd of it.", "[SECRET]\n\nEnd of it."),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert {i: got[i] for i, (_, want) in texts.items() if got[i] != want} == {}
+
+
 def test_rarest_token(spark):
     with pytest.raises(ValueError, match="no literal"):
         urls.judge(pages(spark), (urls.Rule("x", "block", ".*", ()),))

@@ -24,7 +24,7 @@ class Kind:
 
 
 #: Changes with any change of a rule, so that every blob is scanned again.
-RULE_VERSION = "1"
+RULE_VERSION = "3"
 # A run of the wanted length is asked for where no shorter match could hide a longer one: a match that is
 # too short ends where its run of characters ends, and nothing longer begins inside it. In an assignment
 # something can, so those are matched whole and dropped afterwards.
@@ -39,10 +39,22 @@ MORE = (
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", "eyJ"),
     Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "-----BEGIN "),
 )
+#: What the SQL has; of a private key only the line before it.
 KINDS = BASE + MORE
+_LINE = r"(?:[ \t]*+(?:\r?\n|\\r|\\n))++[ \t]*+"
+_LINE_ENDS = r"""(?=[ \t]*+(?:[\r\n"']|\\[rn]|$))"""
+#: A private key as a whole: to its END line if no other such line stands before, or else as far as lines of base64 (of
+#: 16 characters, and a shorter last one) follow; line breaks may be escaped. Possessive, so that no long text is gone over twice.
+PEM = Kind(
+    "pem",
+    r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END \1PRIVATE KEY-----"
+    rf"|(?:[ \t]*+[A-Za-z0-9+/=]{{40,}}+)?+(?:{_LINE}(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/=]{{16,}}+{_LINE_ENDS}))*+(?:{_LINE}[A-Za-z0-9+/=]++{_LINE_ENDS})?+)",
+    "-----BEGIN ",
+)
+WHOLE = tuple(PEM if k.name == PEM.name else k for k in KINDS)
 
 
-def may_hold(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+def may_hold(text: Column, kinds: tuple[Kind, ...] = WHOLE) -> Column:
     out = F.lit(False)
     for k in kinds:
         out = out | (F.contains(text, F.lit(k.hint)) if k.hint.replace("-", "").replace(" ", "").isalpha() else F.rlike(text, F.lit(k.hint)))
@@ -66,7 +78,7 @@ def spans_of_kind(text: Column, kind: Kind) -> Column:
     return F.when(F.rlike(text, F.lit(kind.pattern)), found).otherwise(F.array().cast(SPANS))
 
 
-def spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+def spans(text: Column, kinds: tuple[Kind, ...] = WHOLE) -> Column:
     """All spans by start, then in the order of the kinds."""
     rank = F.create_map(*(x for i, k in enumerate(kinds) for x in (F.lit(k.name), F.lit(i))))
     key = F.transform(F.concat(*(spans_of_kind(text, k) for k in kinds)), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
@@ -83,7 +95,7 @@ def unseen(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE
     return out if ledger is None else out.join(ledger.select("blob", "rule_version"), ["blob", "rule_version"], "left_anti")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
     """blob, rule_version, spans: new lines of the ledger that have findings.
 
     Each content is scanned once, however many documents have it. Texts without any hint of a secret have
@@ -97,13 +109,13 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
     return blobs.select("blob", F.lit(version).alias("rule_version"), spans(F.col("text"), kinds).alias("spans")).where(F.size("spans") > 0)
 
 
-def extend(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def extend(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
     """What to append to the ledger after a run: every unseen content with its findings, or with none."""
     found = scan(docs, ledger, version, text, kinds)
     return unseen(docs, ledger, version, text).join(found, ["blob", "rule_version"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
 
 
-def find(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+def find(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
     """docs with blob and spans: the findings of its content, from the ledger or scanned now, on every row that has it.
 
     A null text counts as empty; without findings spans is an empty array. Rows, ties and other columns

@@ -101,3 +101,17 @@ def test_license_blocks(spark):
     assert {b.label for b in got[108].blocks} == {"gpl"} and got[108].score == 1.0
     assert [(p.label, p.word) for p in got[105].places] == [("mit", 1), ("mit", 5), ("mit", 9)]
     assert got[107].blocks and got[1].n_words == 0 and got[1].score == 0.0
+
+
+def test_wrapped_notices(spark):
+    """Notices as their files break them."""
+    texts = {
+        1: "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        2: "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+        3: "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by",
+        4: "Some text.\nReleased under the\n\nMIT license and, once more, " + "far " * 40 + "released under the MIT license.",
+        12: "",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: [(b.label, b.word, b.containment) for b in r.blocks] for r in licenses.find(df).collect()}
+    assert got == {1: [("mit", 0, 1.0)], 2: [("bsd", 0, 1.0)], 3: [("gpl", 0, 1.0)], 4: [("mit", 2, 1.0), ("mit", 50, 1.0)], 12: []}

@@ -61,11 +61,14 @@ def token_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") ->
     return {r["token"]: r["n"] for r in tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs with n_words, places (struct of label and first word), blocks (struct of line, label and
+def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, text: str = "text", by_line: bool = False) -> DataFrame:
+    """docs with n_words, places (struct of label and first word), blocks (struct of first word, label and
     containment) and score (the largest containment, 1 where a phrase stands, else 0).
 
-    A block (line) meets a template if it has at least ``threshold`` of the template's distinct words. The
+    A block is any run of words of the whole text, across its lines, as long as the template divided by ``threshold``. It
+    meets a template if it has at least ``threshold`` of the template's distinct words. Of blocks of one template that overlap the one with most words counts.
+
+    With ``by_line``, as the SQL has it, a block is a line of any length (struct of line, label and containment). The
     words of all templates are put in one order, the rarest in the corpus first. A template of n words
     that wants m of them shares one of its first n - m + 1 with every block that meets it, so only these are
     indexed. A block's own words, in the same order, fetch templates from the index; one goes on
@@ -82,14 +85,17 @@ def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     tokens = [sorted(t, key=rank.__getitem__) for t in tokens]
+    wanted = [need(t, threshold) for t in tokens]
+    spans = [math.ceil(len(t.split()) / threshold - 1e-9) for _, t in templates]
     index: dict[str, list[tuple[int, int]]] = {}
     for k, t in enumerate(tokens):
-        for i, w in enumerate(t[: len(t) - need(t, threshold) + 1]):
+        for i, w in enumerate(t[: len(t) - wanted[k] + 1]):
             index.setdefault(w, []).append((k, i))
-    entry = lambda k, i: F.struct(F.lit(k).alias("t"), F.lit(len(tokens[k]) - 1 - i).alias("after"), F.lit(need(tokens[k], threshold)).alias("need"))
+    entry = lambda k, i: F.struct(F.lit(k).alias("t"), F.lit(len(tokens[k]) - 1 - i).alias("after"), F.lit(wanted[k]).alias("need"))
     fetch = F.create_map(*(x for w, at in index.items() for x in (F.lit(w), F.array(*(entry(*y) for y in at)))))
-    known = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t)).alias("tokens"), F.lit(len(t)).alias("n"), F.lit(need(t, threshold)).alias("need")) for (label, _), t in zip(templates, tokens, strict=True)))
-    least = min(need(t, threshold) for t in tokens)
+    more = lambda k: [] if by_line else [F.lit(spans[k]).alias("span")]
+    known = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t)).alias("tokens"), F.lit(len(t)).alias("n"), F.lit(wanted[k]).alias("need"), *more(k)) for k, ((label, _), t) in enumerate(zip(templates, tokens, strict=True))))
+    least = min(wanted)
 
     def candidates(b: Column) -> Column:
         """b: a block's words that any template has, in the common order. Of a template that several words
@@ -102,14 +108,39 @@ def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
         good = F.filter(sized, lambda x: x["shared"] >= x["t"]["need"])
         return F.transform(good, lambda x: F.struct(x["t"]["label"].alias("label"), (x["shared"] / x["t"]["n"]).alias("containment")))
 
+    def runs(words: Column, t: Column) -> Column:
+        """Where the template stands: word, label and containment of each run that meets it."""
+
+        def sized(i: Column) -> Column:
+            run = F.slice(words, i + 1, t["span"])
+            return F.struct(i.alias("word"), F.size(F.array_intersect(t["tokens"], run)).alias("shared"))
+
+        def step(acc: Column, x: Column) -> Column:
+            last, one = F.try_element_at(acc, F.lit(-1)), F.array(x)
+            apart = last.isNull() | (x["word"] >= last["word"] + t["span"])
+            return F.when(apart, F.concat(acc, one)).when(x["shared"] > last["shared"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one)).otherwise(acc)
+
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(t["tokens"], F.get(words, i)))
+        good = F.filter(F.transform(at, sized), lambda x: x["shared"] >= t["need"])
+        apart = F.aggregate(good, F.array().cast("array<struct<word:int,shared:int>>"), step)
+        return F.transform(apart, lambda x: F.struct(x["word"].alias("word"), t["label"].alias("label"), (x["shared"] / t["n"]).alias("containment")))
+
     new = ("n_words", "places", "blocks", "score")
     kept = [c for c in docs.columns if c.lower() not in new]
     all_ = F.array(*map(F.lit, order))
     own = docs.select(*kept, lines_of(F.col(text)).alias("__lines"))
-    own = own.select(*kept, F.flatten("__lines").alias("__words"), F.transform("__lines", lambda b: F.array_intersect(all_, b)).alias("__blocks"))
-    none = F.array().cast("array<struct<line:int,label:string,containment:double>>")
-    numbered = F.transform("__blocks", lambda b, i: F.transform(F.when(F.size(b) >= least, met(b)).otherwise(F.array()), lambda x: F.struct(i.alias("line"), x["label"], x["containment"])))
-    found = F.when(F.exists("__blocks", lambda b: F.size(b) >= least), F.flatten(numbered)).otherwise(none)
+    if by_line:
+        own = own.select(*kept, F.flatten("__lines").alias("__words"), F.transform("__lines", lambda b: F.array_intersect(all_, b)).alias("__blocks"))
+        none = F.array().cast("array<struct<line:int,label:string,containment:double>>")
+        numbered = F.transform("__blocks", lambda b, i: F.transform(F.when(F.size(b) >= least, met(b)).otherwise(F.array()), lambda x: F.struct(i.alias("line"), x["label"], x["containment"])))
+        found = F.when(F.exists("__blocks", lambda b: F.size(b) >= least), F.flatten(numbered)).otherwise(none)
+    else:
+        # Whatever a run shares with a template the whole text shares with it too.
+        own = own.select(*kept, F.flatten("__lines").alias("__words"))
+        own = own.withColumn("__words_known", F.array_intersect(all_, "__words"))
+        none = F.array().cast("array<struct<word:int,label:string,containment:double>>")
+        stood = F.transform(candidates(F.col("__words_known")), lambda t: runs(F.col("__words"), F.get(known, t)))
+        found = F.when(F.size("__words_known") >= least, F.flatten(stood)).otherwise(none)
     labelled = lambda label: lambda i: F.struct(F.lit(label).alias("label"), i.alias("word"))
     stand = F.concat(*(F.transform(places(F.col("__words"), p), labelled(label)) for p, label in phrases))
     out = own.select(*kept, F.size("__words").cast("long").alias("n_words"), stand.alias("places"), found.alias("blocks"))

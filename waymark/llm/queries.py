@@ -57,7 +57,8 @@ def op6_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_license_join(spark: SparkSession, d: str) -> DataFrame:
-    found = licenses.find(table(spark, d, "documents").select("doc_id", "text"))
+    # Blocks as its SQL has them, single lines; find has whole notices without this.
+    found = licenses.find(table(spark, d, "documents").select("doc_id", "text"), by_line=True)
     base, more = F.array_distinct(F.col("places.label")), F.col("blocks.label")
     word = lambda f: f(F.col("places.word")).cast("long")
     joined = lambda c: F.array_join(F.array_sort(c), ",")

@@ -115,3 +115,19 @@ def test_wrapped_notices(spark):
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     got = {r.doc_id: [(b.label, b.word, b.containment) for b in r.blocks] for r in licenses.find(df).collect()}
     assert got == {1: [("mit", 0, 1.0)], 2: [("bsd", 0, 1.0)], 3: [("gpl", 0, 1.0)], 4: [("mit", 2, 1.0), ("mit", 50, 1.0)], 12: []}
+
+
+def test_naming_words(spark):
+    """Short notices that name other licenses, and words of one that only stand far apart."""
+    texts = {
+        5: "Released under the BSD license",
+        6: "Licensed under CC BY 4.0",
+        7: "Licensed under CC BY-SA 4.0",
+        8: "Licensed under the Mozilla License, version 2.0",
+        9: "released " + "a " * 50 + "under the " + "b " * 50 + "mit " + "c " * 50 + "license",
+        10: "Licensed under CC BY-NC 4.0",
+        11: "This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0.",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: [(b.label, b.word, b.containment) for b in r.blocks] for r in licenses.find(df).collect()}
+    assert got.pop(10) == [("cc-by-nc", 0, 1.0)] and not any(got.values())

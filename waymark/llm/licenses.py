@@ -27,6 +27,10 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this publication may be reproduced without prior written permission"),
 )
 THRESHOLD = 0.8
+#: Templates of up to so many distinct words are met by all of them.
+SHORT = 8
+#: Words that tell one licence from another: whatever meets a template has those of them that the template has.
+NAMES = frozenset("mit apache cc by nc creative commons attribution gnu general mozilla proprietary 0 2 3 4".split())
 
 
 def lines_of(text: Column) -> Column:
@@ -66,9 +70,11 @@ def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     containment) and score (the largest containment, 1 where a phrase stands, else 0).
 
     A block is any run of words of the whole text, across its lines, as long as the template divided by ``threshold``. It
-    meets a template if it has at least ``threshold`` of the template's distinct words. Of blocks of one template that overlap the one with most words counts.
+    meets a template if it has at least ``threshold`` of the template's distinct words, all of them if the template is
+    SHORT, and all of the template's NAMES. Of blocks of one template that overlap the one with most words counts.
 
-    With ``by_line``, as the SQL has it, a block is a line of any length (struct of line, label and containment). The
+    With ``by_line``, as the SQL has it, a block is a line of any length (struct of line, label and containment), and the
+    threshold is all that is asked. The
     words of all templates are put in one order, the rarest in the corpus first. A template of n words
     that wants m of them shares one of its first n - m + 1 with every block that meets it, so only these are
     indexed. A block's own words, in the same order, fetch templates from the index; one goes on
@@ -85,7 +91,7 @@ def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     tokens = [sorted(t, key=rank.__getitem__) for t in tokens]
-    wanted = [need(t, threshold) for t in tokens]
+    wanted = [len(t) if len(t) <= SHORT and not by_line else need(t, threshold) for t in tokens]
     spans = [math.ceil(len(t.split()) / threshold - 1e-9) for _, t in templates]
     index: dict[str, list[tuple[int, int]]] = {}
     for k, t in enumerate(tokens):
@@ -93,8 +99,9 @@ def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
             index.setdefault(w, []).append((k, i))
     entry = lambda k, i: F.struct(F.lit(k).alias("t"), F.lit(len(tokens[k]) - 1 - i).alias("after"), F.lit(wanted[k]).alias("need"))
     fetch = F.create_map(*(x for w, at in index.items() for x in (F.lit(w), F.array(*(entry(*y) for y in at)))))
-    more = lambda k: [] if by_line else [F.lit(spans[k]).alias("span")]
-    known = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t)).alias("tokens"), F.lit(len(t)).alias("n"), F.lit(wanted[k]).alias("need"), *more(k)) for k, ((label, _), t) in enumerate(zip(templates, tokens, strict=True))))
+    named = lambda t: F.array(*(F.lit(w) for w in t if w in NAMES)).cast("array<string>").alias("names")
+    more = lambda t, k: [] if by_line else [named(t), F.lit(spans[k]).alias("span")]
+    known = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t)).alias("tokens"), F.lit(len(t)).alias("n"), F.lit(wanted[k]).alias("need"), *more(t, k)) for k, ((label, _), t) in enumerate(zip(templates, tokens, strict=True))))
     least = min(wanted)
 
     def candidates(b: Column) -> Column:
@@ -113,7 +120,8 @@ def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
 
         def sized(i: Column) -> Column:
             run = F.slice(words, i + 1, t["span"])
-            return F.struct(i.alias("word"), F.size(F.array_intersect(t["tokens"], run)).alias("shared"))
+            named = F.size(F.array_intersect(t["names"], run)) == F.size(t["names"])
+            return F.struct(i.alias("word"), F.when(named, F.size(F.array_intersect(t["tokens"], run))).otherwise(0).alias("shared"))
 
         def step(acc: Column, x: Column) -> Column:
             last, one = F.try_element_at(acc, F.lit(-1)), F.array(x)

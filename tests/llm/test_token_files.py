@@ -65,3 +65,17 @@ def test_pieces_equal_whole_texts():
     for i in range(0, len(texts), 300):
         for t, raw in zip(texts[i : i + 300], p.of(texts[i : i + 300]), strict=True):
             assert np.frombuffer(raw, "<u2").tolist() == T.tokenizer(PATH).encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_special_tokens_as_the_library(spark, tmp_path):
+    """Strings of special tokens in texts, against a tokenizer that nothing has set."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "Word<|endoftext|>word", "a <|ENDOFTEXT|> b <|endoftext |>", " <|endoftext|>\n<|startoftext|>x", "<|endoftext|><|endoftext|>", "é<|endoftext|>\u0301x ΑΣ<|endoftext|>Σ", "<|<|endoftext|>|>", "\x01<|startoftext|>\x01", "none"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [320, 49407, 321]
+    assert [np.frombuffer(x, "<u2").tolist() for x in T.Pieces(PATH, 2).of(texts)] == want
+    d = cases.write(spark, tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op9_perfect_hash_files(spark, d).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 1], dtype="<u4").tobytes())) for i, x in enumerate(want)}

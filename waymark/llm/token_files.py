@@ -45,8 +45,16 @@ BROADCAST = 500_000
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def ordinary_tokenizer(path: str):
+    """The same, for text between special tokens: what only lower case makes equal to one is ordinary text."""
+    from tokenizers import Tokenizer
+
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = True
     return t
 
 
@@ -81,16 +89,22 @@ class Pieces:
 
     For a vocabulary that normalises by NFC and to lower case, and whose pre-tokenizer drops white space and parts letters
     from marks, this gives the ids of the whole text: no step looks beyond a space, A-Z may be lower-cased before, and a
-    mark after a letter is a word of its own. Pieces that are new to a slice of texts are encoded together.
+    mark after a letter is a word of its own. Pieces that are new to a slice of texts are encoded together. A special token's
+    string in a text is one id, as the library has it; the text before and after is encoded by itself.
     """
 
     def __init__(self, path: str, width: int):
-        self.tokenizer, self.kind = tokenizer(path), f"<u{width}"
+        self.tokenizer, self.kind = ordinary_tokenizer(path), f"<u{width}"
         self.plain = plain_tokenizer(path)
         self.held: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
         at = self._ids(self.tokenizer, _BREAK)
         self.sep = at[0] if len(at) == 1 and (at == self._ids(self.plain, _BREAK)).all() else None
+        special = {i: a for i, a in self.tokenizer.get_added_tokens_decoder().items() if a.special}
+        if any(a.normalized or a.lstrip or a.rstrip or a.single_word for a in special.values()):
+            raise ValueError("special tokens that depend on the text around them")
+        self.special = {a.content: np.array([i], dtype=self.kind).tobytes() for i, a in special.items()}
+        self.any_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def _ids(self, t, text: str) -> np.ndarray:
         return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
@@ -115,6 +129,11 @@ class Pieces:
         self.held.update((p, self.held[p[:-1]] + self.held[p[-1]]) for p in marked)
 
     def of(self, texts: list) -> list[bytes]:
+        parts = [self.any_special.split(t) if t and any(x in t for x in self.special) else [t] for t in texts]
+        between = iter(self._between([*chain.from_iterable(p[::2] for p in parts)]))
+        return [b"".join(self.special[x] if k % 2 else next(between) for k, x in enumerate(p)) for p in parts]
+
+    def _between(self, texts: list) -> list[bytes]:
         split = [_lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.held) > KEPT_PIECES:
             # What has been used since the last time is kept for another round.

@@ -15,18 +15,21 @@ shards of documents without key), ``n`` (documents), ``total`` (ids), and as lit
 ``starts`` has for each shard the number of ids in all shards before it.
 
 A key is looked up in the shard whose range holds it: hash value, fingerprint, place, offset, slice. None of these
-steps depends on the number of documents.
+steps depends on the number of documents. Each shard is a row group of its own: its range is compared with its statistics, its
+index is read without its payload, and its payload only where the index has the key.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import operator
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -35,10 +38,12 @@ from waymark.llm.sketch import mix
 
 #: Bytes of text in one shard, about; and in one partition of the writer: a 10,000th of the input within these bounds.
 SHARD_BYTES, PART_BYTES = 8 << 20, (32 << 20, 256 << 20)
-#: Distinct pieces of text, of up to so many characters, whose ids a worker keeps; of twice as many at most.
-KEPT_PIECES, PIECE = 350_000, 48
+#: Distinct pieces of text, and bytes of their ids, that a worker keeps; of twice as many at most, and those of one slice.
+KEPT_PIECES, KEPT_BYTES = 350_000, 8 << 20
 #: Shards up to which their starts are broadcast (16 bytes each); beyond, they are joined.
 BROADCAST = 500_000
+#: Ranges of keys that a lookup compares shards with.
+RANGES = 64
 
 
 @functools.lru_cache(maxsize=2)
@@ -59,8 +64,12 @@ def ordinary_tokenizer(path: str):
 
 
 _BREAK = "\x01"
-#: Words that neither normalisation changes nor the pre-tokenizer parts: lower-case letters up to U+00FF.
-_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: Letters that normalisation leaves as they are: lower-case ones up to U+00FF.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Marks that are a word of their own after such letters. An apostrophe may belong to letters that follow, so it is none.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes that a byte-level vocabulary writes as another character: from U+0100 on, those that cannot be printed first.
+_HIDDEN = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 def _lower(text: str) -> str:
@@ -74,59 +83,131 @@ def _lower(text: str) -> str:
 
 @functools.lru_cache(maxsize=2)
 def plain_tokenizer(path: str):
-    """The same vocabulary for simple words with spaces between them: the steps that leave these as they are are left out."""
-    from tokenizers import Tokenizer, pre_tokenizers as pre
+    """The same vocabulary for words that are given one by one, in the vocabulary's own letters."""
+    from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    t.normalizer = None
-    t.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.normalizer = t.pre_tokenizer = None
     return t
 
 
+class _Places(dict):
+    """Numbers the pieces as they come; ``new`` has those that have come since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
+class _Held:
+    """Ids of numbered pieces, one after the other."""
+
+    def __init__(self, kind: str):
+        self.places = _Places()
+        self.ids = np.zeros(0, dtype=kind)
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def put(self, at: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        more = len(self.places) - len(self.start)
+        self.start, self.size = (np.concatenate([x, np.zeros(more, dtype=np.int64)]) for x in (self.start, self.size))
+        self.start[at], self.size[at] = len(self.ids) + np.cumsum(size) - size, size
+        self.ids = np.concatenate([self.ids, ids])
+
+    def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces at these places, and how many each has."""
+        size = self.size[at]
+        end = np.cumsum(size)
+        return self.ids[np.repeat(self.start[at] - (end - size), size) + np.arange(end[-1] if len(end) else 0)], size
+
+
 class Pieces:
     """Ids, as little-endian integers, of whole texts, from the library's ids of each distinct piece between spaces.
 
     For a vocabulary that normalises by NFC and to lower case, and whose pre-tokenizer drops white space and parts letters
-    from marks, this gives the ids of the whole text: no step looks beyond a space, A-Z may be lower-cased before, and a
-    mark after a letter is a word of its own. Pieces that are new to a slice of texts are encoded together. A special token's
-    string in a text is one id, as the library has it; the text before and after is encoded by itself.
+    from marks, this gives the ids of the whole text: no step looks beyond a space, A-Z may be lower-cased before, and
+    marks after letters up to U+00FF are a word of their own. Pieces that are new to a slice of texts are encoded together. A
+    special token's string in a text is one id, as the library has it; the text before and after is encoded by itself.
     """
 
     def __init__(self, path: str, width: int):
-        self.tokenizer, self.kind = ordinary_tokenizer(path), f"<u{width}"
-        self.plain = plain_tokenizer(path)
-        self.held: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
+        self.tokenizer, self.plain, self.kind = ordinary_tokenizer(path), plain_tokenizer(path), f"<u{width}"
+        self.held, self.before = _Held(self.kind), _Held(self.kind)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that end a word: each word has one, its last.
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix or "\n")]] = True
         at = self._ids(self.tokenizer, _BREAK)
-        self.sep = at[0] if len(at) == 1 and (at == self._ids(self.plain, _BREAK)).all() else None
+        self.sep = at[0] if len(at) == 1 else None
         special = {i: a for i, a in self.tokenizer.get_added_tokens_decoder().items() if a.special}
         if any(a.normalized or a.lstrip or a.rstrip or a.single_word for a in special.values()):
             raise ValueError("special tokens that depend on the text around them")
         self.special = {a.content: np.array([i], dtype=self.kind).tobytes() for i, a in special.items()}
         self.any_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def _ids(self, t, text: str) -> np.ndarray:
-        return np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
-
-    def _together(self, t, some: list[str]) -> None:
-        if some:
-            ids = self._ids(t, f" {_BREAK} ".join(some))
-            ends = np.flatnonzero(ids == self.sep)
-            raw, w = ids.tobytes(), ids.itemsize
-            cuts = zip([0, *((ends + 1) * w).tolist()], [*(ends * w).tolist(), len(raw)], strict=True)
-            self.held.update((p, raw[i:j]) for p, (i, j) in zip(some, cuts, strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        marked = [p for p in new if p[-1] in ".,;:!?" and p[-2:-1].isalpha()]
-        parts = new.difference(marked).union(q for p in marked for q in (p[:-1], p[-1]) if q not in self.held)
-        odd = [p for p in parts if _BREAK in p] if self.sep is not None else [*parts]
-        self.held.update((p, self._ids(self.tokenizer, p).tobytes()) for p in odd)
-        parts.difference_update(odd)
-        simple = [p for p in parts if _SIMPLE.fullmatch(p)]
-        self._together(self.plain, simple)
-        self._together(self.tokenizer, [*parts.difference(simple)])
-        self.held.update((p, self.held[p[:-1]] + self.held[p[-1]]) for p in marked)
+    def _ids(self, t, text, **how) -> np.ndarray:
+        return np.array(t.encode_batch_fast([text], add_special_tokens=False, **how)[0].ids, dtype=self.kind)
+
+    def _words(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters up to U+00FF, and how many each has."""
+        own = [w if w.isascii() else w.encode().decode("latin-1").translate(_HIDDEN) for w in some]
+        ids = self._ids(self.plain, own, is_pretokenized=True) if own else self.held.ids[:0]
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(own):  # not a vocabulary that marks the ends of words
+            return self._each(some)
+        return ids, np.diff(ends, prepend=-1)
+
+    def _each(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self._ids(self.tokenizer, p) for p in some]
+        return np.concatenate([self.held.ids[:0], *ids]), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _any(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any pieces, encoded together with a break between them."""
+        if self.sep is None or not some:
+            return self._each(some)
+        ids = self._ids(self.tokenizer, f" {_BREAK} ".join([*some, ""]))
+        ends = np.flatnonzero(ids == self.sep)
+        if len(ends) != len(some):  # a break in a piece
+            return self._each(some)
+        return ids[ids != self.sep], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self) -> None:
+        held, places = self.held, self.held.places
+        words, other, whole, stems, tails = ([], []), ([], []), [], [], []
+
+        def deal(new: list[str]) -> None:
+            """What was held before is taken over; the others are words, or go to the library as they are, or are parted."""
+            first = len(places) - len(new)
+            was = np.fromiter(map(self.before.places.get, new, repeat(-1)), dtype=np.int64, count=len(new))
+            again = np.flatnonzero(was >= 0)
+            held.put(first + again, *self.before.get(was[again]))
+            for k in np.flatnonzero(was < 0).tolist():
+                stem = new[k].rstrip(_MARKS)
+                if not stem.isalpha() or not (stem.isascii() or _LETTERS.fullmatch(stem)):
+                    other[0].append(first + k)
+                    other[1].append(new[k])
+                elif len(stem) == len(new[k]):
+                    words[0].append(first + k)
+                    words[1].append(stem)
+                else:
+                    whole.append(first + k)
+                    stems.append(stem)
+                    tails.append(new[k][len(stem) :])
+
+        new, places.new = places.new, []
+        deal(new)
+        parts = [*map(places.__getitem__, stems)], [*map(places.__getitem__, tails)]
+        new, places.new = places.new, []
+        deal(new)
+        held.put(np.array(words[0], dtype=np.int64), *self._words(words[1]))
+        held.put(np.array(other[0], dtype=np.int64), *self._any(other[1]))
+        if whole:
+            ids, size = held.get(np.array(parts, dtype=np.int64).T.ravel())
+            held.put(np.array(whole, dtype=np.int64), ids, size.reshape(-1, 2).sum(axis=1))
 
     def of(self, texts: list) -> list[bytes]:
         parts = [self.any_special.split(t) if t and any(x in t for x in self.special) else [t] for t in texts]
@@ -134,21 +215,19 @@ class Pieces:
         return [b"".join(self.special[x] if k % 2 else next(between) for k, x in enumerate(p)) for p in parts]
 
     def _between(self, texts: list) -> list[bytes]:
-        split = [_lower(t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.held) > KEPT_PIECES:
-            # What has been used since the last time is kept for another round.
-            self.held, self.before = {"": b""}, self.held
-        new = {*chain.from_iterable(split)}.difference(self.held)
-        if again := [p for p in new if p in self.before]:
-            self.held.update((p, self.before[p]) for p in again)
-            new.difference_update(again)
-        if new:
-            self._learn(new)
-        out = [b"".join(map(self.held.__getitem__, x)) for x in split]
-        for p in new:
-            if len(p) > PIECE:
-                del self.held[p]
-        return out
+        split = pc.split_pattern(pa.array([_lower(t).replace("\n", " ") if t else None for t in texts], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        if len(self.held.places) > KEPT_PIECES or self.held.ids.nbytes > KEPT_BYTES:
+            # What is used again is taken over from what was held until now.
+            self.held, self.before = _Held(self.kind), self.held
+        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py().split(" ") if len(coded) else []
+        at = np.fromiter(map(self.held.places.__getitem__, different), dtype=np.int64, count=len(different))[coded.indices.to_numpy()]
+        if self.held.places.new:
+            self._learn()
+        ids, size = self.held.get(at)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *pc.fill_null(pc.list_value_length(split), 0).to_pylist()])] * ids.itemsize
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
 
 
 @functools.lru_cache(maxsize=2)
@@ -222,8 +301,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int, text: str = "text",
     """Encodes each whole text, appends ``end``, and writes the store in ascending order of keys.
 
     Texts are dealt by ranges of key and text hash, so that a key of many rows is split too, and sorted;
-    each task writes the shards of its range. A null or empty text has the end id only. Rows without key come first.
-    Rows that repeat a key follow each other; the index leads to the first. An empty table makes an empty store.
+    each task writes the shards of its range. A null or empty text has the end id only; a very long one makes a shard of
+    its own size. Rows without key come first, in no stated order. Rows that repeat a key follow each other, by a hash of their
+    texts; the index leads to the first. An empty table makes an empty store. Other columns, whatever their names, are not read.
     """
     size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
     rows = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(text).alias("__h"), F.col(text).alias("__text"))
@@ -247,7 +327,8 @@ def write(docs: DataFrame, folder: str, path: str, end: int, text: str = "text",
             yield _shard(part, no, keys, ids, width)
         release()
 
-    dealt.mapInArrow(run, SHARDS).write.parquet(f"{folder}/shards")
+    # A row group for each shard, so that a lookup reads the payload of the shards it needs alone.
+    dealt.mapInArrow(run, SHARDS).write.option("parquet.block.size", shard_bytes // 2).option("parquet.page.size.row.check.min", 1).parquet(f"{folder}/shards")
     shards = docs.sparkSession.read.schema(SHARDS).parquet(f"{folder}/shards").select("part", "no", "total")
     parts = shards.groupBy("part").agg(F.sum("total").alias("total"))
     # One row a part and then one a shard: what goes before within all parts, and within its own.
@@ -258,8 +339,12 @@ def write(docs: DataFrame, folder: str, path: str, end: int, text: str = "text",
 
 
 def _shards(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(SHARDS).parquet(f"{folder}/shards")
+
+
+def _started(shards: DataFrame, folder: str) -> DataFrame:
     """Shards with their starts."""
-    shards = spark.read.schema(SHARDS).parquet(f"{folder}/shards")
+    spark = shards.sparkSession
     starts = spark.read.schema("part int, no int, start long").parquet(f"{folder}/starts")
     few = starts.count() <= BROADCAST
     return shards.join(F.broadcast(starts) if few else starts, ["part", "no"])
@@ -273,7 +358,7 @@ class Shard:
 
     def __init__(self, row: dict):
         get = lambda name, kind: np.frombuffer(row[name], dtype=kind)
-        self.ids = get("payload", f"<u{row['width']}")
+        self.ids = get("payload", f"<u{row['width']}") if "payload" in row else None
         self.keys, self.sizes, self.offsets = get("keys", "<i8"), get("sizes", "<u4"), get("offsets", "<i8")
         self.hash = PerfectHash(get("levels", "<i8"), get("bits", "<u8"))
         self.prints, self.places = get("prints", "<u4"), get("places", "<u4")
@@ -316,13 +401,19 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 for i in range(0, len(at), 1000):
                     yield s.rows(at[i : i + 1000])
 
-    return _shards(spark, folder).mapInArrow(run, OUT)
+    return _started(_shards(spark, folder), folder).mapInArrow(run, OUT)
 
 
-def lookup(spark: SparkSession, folder: str, keys: list[int]) -> DataFrame:
-    """key, start, ids of the first document of each of the given keys that there is. Only shards whose range holds one are read."""
-    wanted = np.unique(np.array(keys, dtype=np.int64))
-    hit = F.exists(F.array(*(F.lit(int(k)) for k in wanted)).cast("array<long>"), lambda k: (F.col("least") <= k) & (k <= F.col("most")))
+def _any_of(conditions: list) -> F.Column:
+    return functools.reduce(operator.or_, conditions, F.lit(False))
+
+
+def places_of(spark: SparkSession, folder: str, keys: np.ndarray) -> DataFrame:
+    """part, no, place, key of the first document of each of the given keys that there is, by the indexes of those shards
+    whose range holds one. Ranges are compared in the scan; no payload is read."""
+    wanted = np.unique(keys)
+    near = np.array_split(wanted, min(len(wanted), RANGES)) if len(wanted) else []
+    some = _shards(spark, folder).where(_any_of([(F.col("least") <= int(k[-1])) & (F.col("most") >= int(k[0])) for k in near]))
 
     def run(batches):
         for batch in batches:
@@ -330,7 +421,31 @@ def lookup(spark: SparkSession, folder: str, keys: list[int]) -> DataFrame:
                 s = Shard(row)
                 at = s.find(wanted)
                 at = at[(at >= 0) & (s.keys[at] == wanted)]
-                if len(at):
-                    yield s.rows(at)
+                part, no = (pa.array([row[c]] * len(at), pa.int32()) for c in ("part", "no"))
+                yield pa.RecordBatch.from_arrays([part, no, pa.array(at, pa.int64()), pa.array(s.keys[at], pa.int64())], names=["part", "no", "place", "key"])
+
+    index = some.select("part", "no", "least", F.lit(0).alias("start"), "keys", "sizes", "levels", "bits", "prints", "places", "offsets")
+    return index.mapInArrow(run, "part int, no int, place long, key long")
+
+
+def lookup(spark: SparkSession, folder: str, keys: list[int]) -> DataFrame:
+    """key, start, ids of the first document of each of the given keys that there is.
+
+    The index tells the shards and the places in them, of which at most one for each given key comes to the driver; then
+    only the row groups of these shards are read.
+    """
+    found: dict[tuple[int, int], list[int]] = {}
+    for r in places_of(spark, folder, np.array(keys, dtype=np.int64)).collect():
+        found.setdefault((r["part"], r["no"]), []).append(r["place"])
+    parts: dict[int, list[int]] = {}
+    for part, no in found:
+        parts.setdefault(part, []).append(no)
+    hit = _any_of([(F.col("part") == part) & F.col("no").isin(nos) for part, nos in parts.items()])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if at := found.get((row["part"], row["no"])):
+                    yield Shard(row).rows(np.array(at))
 
-    return _shards(spark, folder).where(hit).mapInArrow(run, OUT)
+    return _started(_shards(spark, folder).where(hit), folder).mapInArrow(run, OUT)

@@ -9,7 +9,7 @@ from waymark.llm import near_dedup as N
 from waymark.llm.common import space_words
 from waymark.llm.components import components
 from waymark.llm.queries import op3_minhash_near_dedup
-from waymark.llm.sketch import shingle_sets, sketches
+from waymark.llm.sketch import parities, shingle_sets, sketches
 
 
 def shingles(text, size):
@@ -94,7 +94,7 @@ def test_chains_and_stars(spark, block):
             rows.append(x)
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string").repartition(4)
-    check(spark, df, N.Settings(block=block))
+    check(spark, df, N.Settings(block=block, wide=2 * block))
 
 
 def test_short_sets_lose_no_link(monkeypatch, spark):
@@ -112,6 +112,43 @@ def test_short_sets_lose_no_link(monkeypatch, spark):
     test_chains_and_stars(spark, 1024)
 
 
+def test_parities_lose_no_link():
+    """Of sets of many sizes, with links and just not, and so few parities a step that several are needed."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.r_[base[: (n := int(rng.integers(5, 400)))][rng.random(n) < 0.97], rng.integers(0, 2**63, int(rng.integers(0, 8))).astype(np.uint64)]) for _ in range(150)]
+    n, label = np.array([len(x) for x in sets]), np.arange(150) // 2
+    words = [parities(x) for x in sets]
+    linked = np.array([[label[i] != label[j] and N.linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j], 80) for j in range(150)] for i in range(150)])
+    for cells in (1 << 22, 500):
+        ask, tell = N._near(words[:70], n[:70], label[:70], words, n, label, 80, cells)
+        assert (ask >= linked[:70].any(axis=1)).all() and (tell >= linked[:70].any(axis=0)).all() and not ask.all()
+    assert (N._folded(parities(base)[None], 4)[0] == np.packbits((np.bincount((base % 256).astype(int), minlength=256) & 1).astype(np.uint8), bitorder="little").view("<u8")).all()
+
+
+def test_sets_of_one_hash(monkeypatch, spark):
+    """Different sets whose first 64 bits are equal are not one."""
+    real = N.set_ids
+    monkeypatch.setattr(N, "set_ids", lambda sets: (real(sets)[0] % 2, real(sets)[1]))
+    test_chains_and_stars(spark, 1024)
+    check(spark, cases.odd(spark), N.Settings())
+
+
+def test_clashing_columns(spark):
+    docs = cases.odd(spark).selectExpr("*", "1 AS id", "'x' AS node", "2 AS n_shingles", "3 AS component_id", "'k' AS kept", "4 AS bands")
+    check(spark, docs, N.Settings())
+    assert N.apply(docs).columns == docs.columns and N.apply(docs).count() == 10
+
+
+def test_tables_that_nobody_needs_go(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = {*os.listdir(folder)}
+    N.groups(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), N.Settings(size=3, percent=85)).collect()
+    assert len({*os.listdir(folder)} - before) == 2
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 7, 100, 5000)]

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,16 +89,22 @@ def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Only where all of Spark is one process, and no folder is named, is it one of our own."""
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not d and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        d = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not d:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            d = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-        else:
-            d = tempfile.mkdtemp(prefix="waymark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        d = _own_dir()
     return d
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="waymark-")
+
+
 #: Rows of keys (some 100 bytes each) up to which they are broadcast; more are joined by a shuffle.
 FEW = 200_000
 
@@ -103,12 +112,37 @@ FEW = 200_000
 def small(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and counted, with a hint to broadcast it only if it has few rows."""
     df = cut(df)
-    return broadcast(df) if df.count() <= FEW else df
+    if df.count() > FEW:
+        return df
+    out = broadcast(df)
+    out._folder = df._folder
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that later steps neither recompute it nor depend on an executor."""
+    """df as a table in the shared folder, so that later steps neither recompute it nor depend on an executor, and read
+    only the columns they need. It stays until :func:`drop` is called, as a result that nobody has read yet may need it."""
+    folder = f"{shared_dir(df.sparkSession)}/waymark-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def cut_rows(df: DataFrame) -> DataFrame:
+    """The same for rows of long arrays or texts: a checkpoint, which is written and read a row at a time, where the reader of
+    a table's columns would hold thousands."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    out = df.checkpoint()
+    out._folder = out._jdf.logicalPlan().rdd().getCheckpointFile().get()
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`cut` or :func:`small` has written."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,9 +10,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import cut, lists, small, with_columns
+from waymark.llm.common import cut, cut_rows, drop, lists, small, with_columns
 from waymark.llm.components import components
-from waymark.llm.sketch import bands, set_ids, shingle_sets, sketches
+from waymark.llm.sketch import bands, parities, set_ids, shingle_sets, sketches
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,8 @@ class Settings:
     percent: int = 80
     coordinates: int = 128
     rows: int = 4
-    #: Members of a bucket that are compared with as many others in one task.
+    #: Members of a bucket that are compared with as many others in one task, by their parities and by their sets.
+    wide: int = 4096
     block: int = 1024
 
 
@@ -44,20 +46,26 @@ def sketch(docs: DataFrame, s: Settings, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, s: Settings, text: str) -> DataFrame:
+    """docs with the hashes of the text's set, its size, its shingles, their different 32-bit ends, and their parities."""
+
     def run(texts: list) -> list[pa.Array]:
         sets = shingle_sets(texts, s.size)
         short = pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in sets])
-        return [pa.array(set_ids(sets)[0]), lists(np.concatenate(sets).view(np.int64), np.cumsum([len(x) for x in sets])), short]
+        own = set_ids(sets)
+        return [*map(pa.array, own), pa.array([len(x) for x in sets], pa.int64()), lists(np.concatenate(sets).view(np.int64), np.cumsum([len(x) for x in sets])), short, pa.array([parities(x).tobytes() for x in sets])]
 
-    return with_columns(docs, text, "node long, shingles array<long>, short binary", run).select("node", "shingles", "short")
+    return with_columns(docs, text, "node long, node2 long, n long, shingles array<long>, short binary, parity binary", run)
 
 
 def _looked_up(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, s: Settings, text: str) -> DataFrame:
-    """node, shingles and their different 32-bit ends of the wanted nodes, each from one of the rows that have it."""
-    r = small(nodes.join(wanted, "node").select(F.col("__id").alias("__i"), F.col("__tid").alias("__t")))
+    """id and set of the wanted nodes, each from one of the rows that have it."""
+    r = small(nodes.join(wanted, "id").select("id", F.col("__id").alias("__i"), F.col("__tid").alias("__t"), F.col("node").alias("__n"), F.col("node2").alias("__n2")))
     base = docs.select("__id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__tid"), text)
-    found = base.join(r, (F.col("__tid") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__i")), "left_semi")
-    return _sets(found.select(text), s, text).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("short").alias("short"))
+    found = base.join(r, (F.col("__tid") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__i"))).select("id", "__n", "__n2", text)
+    same = _sets(found, s, text).where((F.col("node") == F.col("__n")) & (F.col("node2") == F.col("__n2")))
+    out = cut_rows(same.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "shingles", "short", "parity"))))
+    drop(r)
+    return out
 
 
 def linked(shared, n, m, percent: int):
@@ -66,12 +74,54 @@ def linked(shared, n, m, percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Those pairs (a, b) whose whole sets are similar enough."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return pairs.join(b, "b").join(a, "a").where(linked(shared, F.size("x"), F.size("y"), s.percent)).select("a", "b")
 
 
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Parities of rows of words, folded to a smaller power of two of words."""
+    return np.bitwise_xor.reduce(words.reshape(len(words), -1, width), axis=1)
+
+
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows of words differ, a word at a time."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int32)
+    for c in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., c] ^ b[..., c])
+    return out
+
+
+def _near(asking: list[np.ndarray], n: np.ndarray, label: np.ndarray, told: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int, cells: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asking, and of the told, may be linked with one of another label.
+
+    asking, told: parities as 64-bit words. Two sets differ in at least as many shingles as their parities
+    differ in bits, folded ones too, so what is left out here is not linked. A quarter of the bits tells most.
+    """
+    ask, tell = np.zeros(len(asking), dtype=bool), np.zeros(len(told), dtype=bool)
+    width, wide = (np.array([len(x) for x in y]) for y in (asking, told))
+    # 2 * shared = both - differ at most
+    may = lambda both, differ: 100 * (both - differ) >= percent * (both + differ)
+    for v in np.unique(width):
+        for w in np.unique(wide):
+            i, j, k = np.flatnonzero(width == v), np.flatnonzero(wide == w), int(min(v, w))
+            a, b = (_folded(np.stack([x[y] for y in z]), k) for x, z in ((asking, i), (told, j)))
+            short_a, short_b = (_folded(x, max(1, k // 4)) for x in (a, b))
+            step = max(1, cells // len(j))
+            for at in range(0, len(i), step):
+                q = i[at : at + step]
+                both = n[q][:, None] + sizes[j][None]
+                good = may(both, _bits(short_a[at : at + step, None], short_b[None])) & (label[q][:, None] != labels[j][None])
+                x, y = np.nonzero(good)
+                for z in range(0, len(x), cells):
+                    x_, y_ = x[z : z + cells], y[z : z + cells]
+                    still = may(both[x_, y_], _bits(a[at + x_], b[y_]))
+                    ask[q[x_[still]]] = True
+                    tell[j[y_[still]]] = True
+    return ask, tell
+
+
 def _union(asking: list[np.ndarray], n: np.ndarray, label: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (place in asking, place in sets) between members of different labels, enough to tell which belong together.
 
@@ -103,53 +153,91 @@ def _union(asking: list[np.ndarray], n: np.ndarray, label: np.ndarray, sets: lis
     return out
 
 
-def _within(members: DataFrame, sets: DataFrame, s: Settings, short: bool = True) -> DataFrame:
-    """All links that matter between members (key, node, component) of a bucket that are not together yet.
+def _dealt(members: DataFrame, s: Settings, block: int) -> DataFrame:
+    """Members (key, id, n, component) of a bucket as they meet: key, g, i, j, asks, id, component.
 
-    The members outside a bucket's largest component ask, and all are asked: each block of the ones meets each block of
-    the others in one task, where whole sets are compared. So n members of which m ask make n * ceil(m / block) +
-    m * ceil(n / block) rows. short: sets go as 32-bit ends, and links have to be verified.
+    The members outside a bucket's largest component ask, and all are told. Both are dealt by classes of size, g: a set
+    asks those of its own class and the next ones on both sides, beyond which no size is near enough. In a class
+    each block of the ones meets each block of the others, so t told and a asking make t * ceil(a / block) + a * ceil(t / block) rows.
     """
-    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = lambda c: F.ceil(c / s.block).cast("int")
-    most = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), blocks(F.sum("n")).alias("asked"), blocks(F.sum("n") - F.max("n")).alias("asking"))
-    all_ = members.join(most, "key")
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    # A little wider than the quotient of sizes, so that rounding cannot part sizes at the threshold by two classes.
+    class_ = F.floor(F.log(F.col("n")) / F.lit(1.0001 * math.log(100 / s.percent))).cast("int")
+    sized = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sized.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    told = members.select("key", class_.alias("g"), "id", "component")
+    asks = members.join(largest, "key").where("component <> largest").select("key", F.explode(F.array(class_ - 1, class_, class_ + 1)).alias("g"), "id", "component")
+    blocks = lambda x, name: x.groupBy("key", "g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    most = blocks(asks, "asking").join(blocks(told, "asked"), ["key", "g"])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = all_.where("component <> largest").select("key", block("asking").alias("i"), each("asked").alias("j"), F.lit(True).alias("asks"), "node", "component")
-    told = all_.select("key", block("asked").alias("j"), each("asking").alias("i"), F.lit(False).alias("asks"), "node", "component")
-    dealt = asks.unionByName(told).join(sets.select("node", F.size("shingles").alias("n"), F.col("short" if short else "shingles").alias("x")), "node")
+    a = asks.join(most, ["key", "g"]).select("key", "g", own("asking").alias("i"), each("asked").alias("j"), F.lit(True).alias("asks"), "id", "component")
+    b = told.join(most, ["key", "g"]).select("key", "g", own("asked").alias("j"), each("asking").alias("i"), F.lit(False).alias("asks"), "id", "component")
+    return a.unionByName(b)
+
+
+def _sides(pdf: pd.DataFrame, kind: str):
+    for own in (pdf[pdf["asks"]], pdf[~pdf["asks"]]):
+        yield [np.frombuffer(v, dtype=kind) if isinstance(v, bytes) else np.asarray(v, dtype=kind) for v in own["x"]], own["n"].to_numpy(), own["component"].to_numpy()
+
+
+def _maybe(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Those members that their parities allow a link with a member of the same bucket and another component."""
+    dealt = _dealt(members, s, s.wide).join(sets.select("id", "n", F.col("parity").alias("x")), "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, d = _sides(pdf, "<u8")
+        if not len(q[0]) or not len(d[0]):
+            return pdf[["key", "id"]][:0]
+        good = np.zeros(len(pdf), dtype=bool)
+        asks = pdf["asks"].to_numpy()
+        good[asks], good[~asks] = _near(*q, *d, s.percent)
+        return pdf.loc[good, ["key", "id"]]
+
+    found = dealt.groupBy("key", "g", "i", "j").applyInPandas(run, "key long, id long").distinct()
+    return members.join(found, ["key", "id"], "left_semi")
+
+
+def _within(members: DataFrame, sets: DataFrame, s: Settings, short: bool = True) -> DataFrame:
+    """All links (a, b) that matter between members of a bucket that are not together yet, by whole sets. short: sets go as
+    32-bit ends, and links have to be verified."""
+    dealt = _dealt(members, s, s.block).join(sets.select("id", "n", F.col("short" if short else "shingles").alias("x")), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, d = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        arrays = lambda x: [np.frombuffer(v, dtype=np.uint32) if short else np.asarray(v, dtype=np.int64) for v in x["x"]]
-        side = lambda x: (arrays(x), x["n"].to_numpy(), x["component"].to_numpy())
-        found = _union(*side(q), *side(d), s.percent) if len(q) and len(d) else []
-        a, b = q["node"].to_numpy(), d["node"].to_numpy()
+        q, d = _sides(pdf, "<u4" if short else "<i8")
+        found = _union(*q, *d, s.percent) if len(q[0]) and len(d[0]) else []
+        a, b = (pdf["id"][pdf["asks"] == x].to_numpy() for x in (True, False))
         return pd.DataFrame({"a": [a[x] for x, _ in found], "b": [b[y] for _, y in found]}, dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return dealt.groupBy("key", "g", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def _more_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Links within buckets, found by 32-bit ends and verified by whole sets. Should one not hold, which only equal ends of
-    different shingles can bring about, what it has kept from being compared is compared by whole sets."""
-    found = cut(_within(members, sets, s))
+    """Links within buckets: parities tell which members may have any, 32-bit ends which links they may be, whole sets which
+    they are. Should one not hold, which only equal ends of different shingles can bring about, what it has kept from
+    being compared is compared by whole sets."""
+    some = cut(_maybe(members, sets, s))
+    found = cut(_within(some, sets, s))
     good = cut(_verified(found, sets, s))
-    return good if good.count() == found.count() else cut(_within(members, sets, s, short=False))
+    if good.count() != found.count():
+        drop(good)
+        good = cut(_within(some, sets, s, short=False))
+    drop(some, found)
+    return good
 
 
 def groups(docs: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each row of docs: its id, n_shingles, component_id (the smallest id reachable over links) and kept.
 
-    Rows of equal shingle sets are one node. In each bucket (band) every node is verified against the smallest one. Where
-    a bucket's nodes are then in more than one component and not every two of them have been compared, its
-    members are compared with each other, but for those already together; buckets with the same members count
-    once. So no link between different components is left out, and no bucket is written out as pairs.
+    Rows of equal shingle sets (by two 64-bit hashes) are one node, with a number of its own. In each bucket (band) every node
+    is verified against the smallest one. Where a bucket's nodes are then in more than one component and not every two of
+    them have been compared, its members are compared with each other, but for those already together; buckets with
+    the same members count once. So no link between different components is left out, and no bucket is written out as pairs.
 
-    A text without words is linked with nothing: component_id is its own id. Rows without id belong to the
-    component of their text; its component_id is the smallest id there is, or null, and kept tells whether both are
-    equal, nulls too. Rows that repeat an id get the result of their own text, and count each.
+    A text without words is linked with nothing: component_id is its own id. A very long text is one set of all its shingles.
+    Rows without id belong to the component of their text; its component_id is the smallest id there is, or null, and kept
+    tells whether both are equal, nulls too. Rows that repeat an id get the result of their own text, and count each; of
+    equal ids with different texts both are kept if both are the smallest of their components. An empty table gives
+    no rows. Columns other than the text and the id are not read, whatever their names.
     """
     out = _groups(docs, settings, text, doc_id)
     kept = F.col("component_id").eqNullSafe(F.col("__id"))
@@ -161,32 +249,37 @@ def _groups(docs: DataFrame, s: Settings, text: str, doc_id: str) -> DataFrame:
     base = own.withColumn("__tid", F.xxhash64(F.coalesce("__text", F.lit(""))))
     sig = cut(sketch(base, s, "__text").drop("__text"))
     first = F.struct(F.col("__id").isNull(), F.col("__id").alias("__id"), F.col("__tid").alias("__tid"))
-    nodes = cut(sig.where("n_shingles > 0").groupBy("node", "node2").agg(F.min(first).alias("f"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")).select("node", "f.__id", "f.__tid", "bands", "size"))
-    spread = nodes.select("node", "size", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.min_by("size", "node").alias("pivot_size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    each = sig.where("n_shingles > 0").groupBy("node", "node2").agg(F.min(first).alias("f"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    # Numbers, written at once, stand for the two hashes from here on: different sets have different ones.
+    nodes = cut(each.select(F.monotonically_increasing_id().alias("id"), "node", "node2", "size", "f.__id", "f.__tid", "bands"))
+    spread = nodes.select("id", "size", F.explode("bands").alias("key"))
+    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"), F.min_by("size", "id").alias("pivot_size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")).where("n > 1")
     # Buckets of equal members are one; most copies share nearly all of their bands.
-    buckets = buckets.groupBy("n", "pivot", "pivot_size", "members").agg(F.min("key").alias("key"))
-    members = cut(spread.join(buckets, "key").select("key", "node", "size", "n", "pivot", "pivot_size"))
+    buckets = buckets.groupBy("n", "pivot", "pivot_size", "members").agg(F.min("key").alias("key")).drop("members")
+    members = cut(spread.join(buckets, "key").select("key", "id", "size", "n", "pivot", "pivot_size"))
     # Sets of too different sizes cannot be similar enough.
     near = 100 * F.least("size", "pivot_size") >= s.percent * F.greatest("size", "pivot_size")
-    pairs = cut(members.where((F.col("node") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    ends = [pairs.select(F.col(c).alias("node")) for c in "ab"]
-    wanted = members.where("n > 2").select("node").unionByName(ends[0]).unionByName(ends[1]).distinct()
-    sets = cut(_looked_up(own, wanted, nodes.select("node", "__id", "__tid"), s, "__text"))
-    links = cut(_verified(pairs, sets, s))
+    pairs = cut(members.where((F.col("id") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    ends = [pairs.select(F.col(c).alias("id")) for c in "ab"]
+    wanted = members.where("n > 2").select("id").unionByName(ends[0]).unionByName(ends[1]).distinct()
+    sets = _looked_up(own, wanted, nodes.select("id", "node", "node2", "__id", "__tid"), s, "__text")
+    links = _verified(pairs, sets, s)
     found = components(links)
     # A bucket of two has been compared as a whole.
-    at = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    at = members.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.col("size").alias("n"), F.coalesce("component", "id").alias("component"))
     split = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = cut(at.join(split, "key").select("key", "node", "component"))
+    left = cut(at.join(split, "key"))
     if left.head() is not None:
         more = _more_links(left, sets, s)
         if more.head() is not None:
-            found = components(links.unionByName(more))
-    known = nodes.select("node", "__id").join(found, "node", "left")
+            last, found = found, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+            drop(last)
+        drop(more)
+    known = nodes.select("id", "node", "node2", "__id").join(found.withColumnRenamed("node", "id"), "id", "left")
     least = known.where("component is not null").groupBy("component").agg(F.min("__id").alias("component_id"))
-    result = known.join(least, "component", "left").select("node", F.when(F.col("component").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
-    some = sig.where("n_shingles > 0").select("__id", "__tid", "n_shingles", "node").join(result, "node").select("__id", "__tid", "n_shingles", "component_id")
+    result = cut(known.join(least, "component", "left").select("node", "node2", F.when(F.col("component").isNull(), F.col("__id")).otherwise(F.col("component_id")).alias("component_id")))
+    drop(left, sets, pairs, members, found, nodes)
+    some = sig.where("n_shingles > 0").select("__id", "__tid", "n_shingles", "node", "node2").join(result, ["node", "node2"]).select("__id", "__tid", "n_shingles", "component_id")
     none = sig.where("n_shingles = 0").select("__id", "__tid", "n_shingles", F.col("__id").alias("component_id"))
     return some.unionByName(none)
 

@@ -58,6 +58,14 @@ def set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(a + n).view(np.int64), mix(b * _A + n).view(np.int64)
 
 
+def parities(set_: np.ndarray) -> np.ndarray:
+    """64-bit words of a power of two of bits, two for each shingle at least: whether a bit's shingles are odd in number.
+    Folded to half as many words by exclusive or, they are what fewer bits would have given."""
+    bits = max(64, 1 << (2 * len(set_) - 1).bit_length()) if len(set_) else 64
+    at = (set_ & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """One row of t values for each set; equal coordinates of two rows estimate their Jaccard similarity.
 

@@ -12,6 +12,16 @@ def test_against_sql(spark, name):
     compare(spark, J.QUERIES[name], J.SQL[name], D)
 
 
+@pytest.mark.parametrize("name", [x for x in J.QUERIES if x != "layer_unknown"])
+def test_not_empty(spark, name):
+    assert J.QUERIES[name](spark, D).head() is not None
+
+
+def test_loads_fail_and_succeed(spark):
+    got = {r.load: (r.drawn > 0, r.failed, r.by_unknown_place) for r in J.strict_loads(spark, D).collect()}
+    assert got == {"known": (True, False, False), "all": (False, True, True), "broken": (False, True, False)}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(J.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -84,10 +84,10 @@ def test_tooltip_note(spark):
 
 def test_json(spark, tmp_path):
     p = tmp_path / "places.json"
-    p.write_text('{"x": {"LatLng": [1, 2], "name": "old"}, "7": {"LatLng": [3, 4.5], "name": "seven"}, "x": {"LatLng": [5, 6], "name": "new"}}')
+    p.write_text('{"x": {"LatLng": [1, 2],\n "name": "old"},\n"7": {"LatLng": [3, 4.5], "name": "seven"}, "x": {"LatLng": [5, 6], "name": "new"}}')
     assert [tuple(r) for r in R.read_places(spark, str(p), "train").orderBy("ord").collect()] == [("train", "x", 0, 5.0, 6.0, "new"), ("train", "7", 1, 3.0, 4.5, "seven")]
     t = tmp_path / "trips.json"
-    t.write_text(json.dumps([{"code": "K1", "time": "t", "route": ["x", "7"]}, {"code": "C1", "time": "t", "route": [], "information": "i"}]))
+    t.write_text(json.dumps([{"code": "K1", "time": "t", "route": ["x", "7"]}, {"code": "C1", "time": "t", "route": [], "information": "i"}], indent=2))
     assert [(r.ord, r.code, r.information) for r in R.read_trips(spark, str(t), "train").orderBy("ord").collect()] == [(0, "K1", None), (1, "C1", "i")]
     g = tmp_path / "regions.json"
     ring = [[0, 0], [1, 0], [0, 1], [0, 0]]
@@ -100,6 +100,80 @@ def test_json(spark, tmp_path):
     assert [(r.id, r.area_color) for r in region_style(regions, palette(spark)).collect()] == [("11", PALETTE[0][1])]
 
 
+def test_rank_over_spans(spark):
+    """Trips of one pair in many spans of the source, some of them without any."""
+    e = spark.range(400).selectExpr("'train' AS layer", "id * 3 AS ord", "id % 2 * 1.0 AS start_lng", "0.0 AS start_lat", "if(id < 5, null, 1.0) AS end_lng", "0.0 AS end_lat")
+    key = lambda r: (r.ord, r["rank"])
+    want = sorted(map(key, N.edge_rank(e).collect()))
+    for span in (1, 7, 100):
+        assert sorted(map(key, N.edge_rank(e, span).collect())) == want
+    assert max(r for _, r in want) == 197
+
+
+def test_regions_in_a_script(spark, tmp_path):
+    ring = [[0, 0], [1, 0], [0, 1], [0, 0]]
+    feature = lambda kind, c: {"type": "Feature", "properties": {"id": "1", "name": "n)", "cp": [0, 1], "childNum": 1}, "geometry": {"type": kind, "coordinates": c}}
+
+    def read(*features):
+        p = tmp_path / "regions.js"
+        p.write_text("(function (root) {\n  if (!x.registerMap) { return; }\n  x.registerMap('place', " + json.dumps({"type": "FeatureCollection", "features": features}, indent=1) + ")\n}));")
+        return [r.coordinates for r in R.read_regions(spark, str(p)).orderBy("ord").collect()]
+
+    assert read(feature("Polygon", [ring]), feature("MultiPolygon", [[ring], [ring]])) == [[[ring]], [[ring], [ring]]]
+    for bad in (feature("Point", [1, 2]), feature("Polygon", [["x"]]), feature("MultiPolygon", "no")):
+        with pytest.raises(Exception):  # noqa: B017
+            read(bad)
+
+
+def test_one_broken_source_fails_all(spark, tmp_path):
+    """Nothing is drawn, and what was drawn before stays."""
+    (tmp_path / "places.json").write_text('{"a": {"LatLng": [1, 2], "name": "A"}, "b": {"LatLng": [3, 4], "name": "B"}}')
+    (tmp_path / "trips.json").write_text('[{"code": "G1", "time": "t", "route": ["a", "b"]}]')
+    (tmp_path / "broken.json").write_text('[{"code": "G1", "time": ')
+
+    def make(trips):
+        return J.layer_edges(R.read_trips(spark, str(tmp_path / trips), "train"), R.read_places(spark, str(tmp_path / "places.json"), "train"), "train")
+
+    out = str(tmp_path / "out")
+    assert J.load(spark, lambda: make("trips.json"), out) == (1, None)
+    n, error = J.load(spark, lambda: make("broken.json"), out)
+    assert n == 0 and error and spark.read.parquet(out).count() == 1
+    assert J.load(spark, lambda: make("absent.json"), out)[1]
+
+
+def test_hover(spark):
+    rows = spark.createDataFrame([("lines", "l", "n"), ("scatter", "l", "n"), (None, "l", "n")], "kind string, line string, name string")
+    assert [r.t for r in rows.select(S.hover(F.col("kind"), F.col("line"), F.col("name")).alias("t")).collect()] == ["l", "n", "n"]
+
+
+def test_shared_dir_is_never_local_on_a_cluster(monkeypatch):
+    from waymark import shared
+
+    class Fake:
+        def __init__(self, master):
+            self.sparkContext, self.conf, self.master, self._jsc = self, self, master, self
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+    assert shared.shared_dir(Fake("local[4]")) == shared.shared_dir(Fake("local"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="shared|share"):
+            shared.shared_dir(Fake(master))
+
+
 def test_replace_result(spark, tmp_path):
     for n in (3, 2):
         J.replace_result(spark.range(n), str(tmp_path / "out"))

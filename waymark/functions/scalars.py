@@ -58,7 +58,13 @@ def curveness(rank: Column) -> Column:
 
 def period(*keys: Column) -> Column:
     """4 to 8, drawn from a hash of the keys so that a retried task draws the same."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(5)) + F.lit(4)).cast("int")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", *(k.cast("string") for k in keys))), 1, 8), 16, 10).cast("long")
+    return (F.pmod(drawn, F.lit(5)) + F.lit(4)).cast("int")
+
+
+def hover(kind: Column, line: Column, name: Column) -> Column:
+    """What is shown over an item: a line has its own text, anything else its name."""
+    return F.when(kind == "lines", line).otherwise(name)
 
 
 def tooltip(code: Column, time: Column, start: Column, end: Column, note: Column) -> Column:

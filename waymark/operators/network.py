@@ -76,10 +76,22 @@ def check_ends(edges_: DataFrame) -> DataFrame:
     return edges_.withColumns({c: F.when(ok, F.col(c)).otherwise(bad) for c in ("start_name", "end_name")})
 
 
-def edge_rank(edges_: DataFrame) -> DataFrame:
-    """Adds rank: how many earlier trips (by ord) made the same directed pair of positions."""
-    w = Window.partitionBy(*PAIR).orderBy("ord")
-    return edges_.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
+def edge_rank(edges_: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """Adds rank: how many earlier trips (by ord) made the same directed pair of positions.
+
+    Trips are numbered within their pair and within ``span`` places of the source, and what the spans before
+    have of the pair is added. So however many trips a pair has, no task numbers more than span of them.
+    """
+    at = edges_.withColumn("__span", F.floor(F.col("ord") / span))
+    own = F.row_number().over(Window.partitionBy("__span", *PAIR).orderBy("ord")) - 1
+    counts = at.groupBy(*PAIR, "__span").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*PAIR).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = counts.withColumn("__before", before).where("__before > 0").select(*(F.col(c).alias(f"__{c}") for c in PAIR), F.col("__span").alias("__s"), "__before")
+    same = F.col("__span") == F.col("__s")
+    for c in PAIR:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    ranked = at.withColumn("__own", own).join(earlier, same, "left")
+    return ranked.select(*edges_.columns, (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("long").alias("rank"))
 
 
 def pair_counts(edges_: DataFrame) -> DataFrame:

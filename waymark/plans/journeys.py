@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.functions import scalars as S
 from waymark.operators import network as N
@@ -48,6 +50,36 @@ def combine(parts: dict[str, tuple[DataFrame, DataFrame]], layer: str = "all") -
     return out
 
 
-def replace_result(df: DataFrame, path: str) -> None:
-    """Puts a new result in the place of the old one."""
-    df.write.mode("overwrite").parquet(path)
+def replace_result(df: DataFrame, path: str, *by: str) -> None:
+    """Puts a new result in the place of the old one, in folders by the given columns."""
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def prepare(parts: dict[str, tuple[DataFrame, DataFrame]], path: str) -> None:
+    """Computes the edges and markers of all layers once and keeps them, a folder for each branch."""
+    replace_result(combine(parts), path, "branch")
+
+
+def prepared(spark: SparkSession, path: str, layer: str = "all") -> DataFrame:
+    """What :func:`combine` gives, from what :func:`prepare` has kept: only the folders of the layer's branches are read."""
+    chosen = [b for name, branches in BRANCHES.items() if layer in ("all", name) for b in branches]
+    return spark.read.parquet(path).where(F.col("branch").isin(chosen))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """kind (lines, or scatter for markers) and hover text of what :func:`combine` gives."""
+    lines = F.col("branch").isin([b[0] for b in BRANCHES.values()])
+    out = df.withColumn("kind", F.when(lines, F.lit("lines")).otherwise(F.lit("scatter")))
+    return out.withColumn("hover", S.hover(F.col("kind"), F.col("tooltip"), F.col("name")))
+
+
+def load(spark: SparkSession, make, path: str) -> tuple[int, str | None]:
+    """Puts what make() gives in the place of the old result: its rows and no error. Whatever fails, reading, parsing or
+    a rule, is reported, and the old result stays as it was."""
+    new = f"{path}.new"
+    try:
+        replace_result(make(), new)
+        replace_result(spark.read.parquet(new), path)
+        return spark.read.parquet(path).count(), None
+    except (PySparkException, Py4JError) as e:
+        return 0, str(e)

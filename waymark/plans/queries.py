@@ -7,16 +7,21 @@ events as stops.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from waymark.functions import scalars as S
 from waymark.operators import network as N
 from waymark.plans import journeys as J
-from waymark.sources.palette import region_style
+from waymark.shared import shared_dir
+from waymark.sources.journeys import read_places, read_regions, read_trips
+from waymark.sources.palette import PALETTE, palette, region_style
 
 RAIL, AIR = "train", "flight"
 AIR_PLACES = [("click", 10.0, 1.0), ("purchase", 12.0, 2.0), ("signup", 9.0, 3.0), ("view", 11.0, 4.0)]
-NATION_PALETTE = [("FRANCE", "#111111", "#aaaaaa"), ("GERMANY", "#222222", "#bbbbbb"), ("CHINA", "#333333", "#cccccc"), ("NOWHERE", "#444444", "#dddddd")]
+#: Nations from the 21st on have a name that the palette lacks, and most colours belong to no nation.
+COLOURED = 20
 SYMBOL_CASES = [("G1", 1.0), ("g1", 1.0), ("G1", -1.0), ("G1", 0.0), ("D1", -1.0), ("C1", -1.0), ("K1", 1.0), ("Y1", 1.0), ("Z1", -1.0), ("T1", -1.0), ("1234", -1.0), (None, 1.0), ("", -1.0)]
 
 
@@ -61,7 +66,7 @@ def air_trips(spark: SparkSession, d: str) -> DataFrame:
 def _parts(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
     rs, rp, as_, ap = rail_stops(spark, d), rail_places(spark, d), air_stops(spark, d), air_places(spark)
     return {
-        RAIL: (J.layer_edges(rail_trips(spark, d), rp, RAIL, strict=False, stops=rs), J.layer_markers(rs, rp)),
+        RAIL: (J.layer_edges(rail_trips(spark, d), rp, RAIL, strict=False, stops=rs), J.layer_markers(rs, rp).withColumn("code", F.col("code").cast("string"))),
         AIR: (J.layer_edges(air_trips(spark, d), ap, AIR, strict=False, stops=as_), J.layer_markers(as_, ap)),
     }
 
@@ -116,14 +121,97 @@ def air_symbol(spark, d):
 
 
 def edge_tooltip(spark, d):
-    """Trips whose ends are known; the check is in the names."""
-    e = N.check_ends(_rail_edges(spark, d).where("start_known and end_known")).join(rail_trips(spark, d), list(N.TRIP))
+    e = _rail_edges(spark, d).join(rail_trips(spark, d), list(N.TRIP))
     return e.select("ord", S.tooltip(F.col("code"), F.col("time"), F.col("start_name"), F.col("end_name"), F.col("information")).alias("tooltip"))
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+def _json_file(df: DataFrame, column, path: str, head: str = "") -> str:
+    """One file with one JSON text, as the sources come."""
+    df.select(F.concat(F.lit(head), F.to_json(column)).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def _ordered(key: str, value) -> F.Column:
+    """An array of all rows' values by key; of lookup tables and fixtures, which are one file."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(key), value.alias("v")))), lambda x: x["v"])
+
+
 def region_style_(spark, d):
-    regions = table(spark, d, "nation").select(F.col("n_name").alias("name"))
-    return region_style(regions, spark.createDataFrame(NATION_PALETTE, "name string, normal string, hover string"))
+    """Nations as GeoJSON within a script, with the palette's names, read and joined with the palette."""
+    names = F.array(*(F.lit(n) for n, _, _ in PALETTE[:COLOURED]))
+    n = table(spark, d, "nation").withColumn("name", F.coalesce(F.get(names, F.col("n_nationkey")), F.col("n_name")))
+    x = F.col("n_nationkey").cast("double")
+    ring = F.array(*(F.array(x + a, x + b) for a, b in ((0, 0), (1, 0), (0, 1), (0, 0))))
+    many = F.col("n_nationkey") % 2 == 1
+    geometry = F.struct(F.when(many, "MultiPolygon").otherwise("Polygon").alias("type"), F.when(many, F.to_json(F.array(F.array(ring)))).otherwise(F.to_json(F.array(ring))).alias("coordinates"))
+    feature = F.struct(F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("name"), F.array(x, x).alias("cp"), F.lit(1).alias("childNum")).alias("properties"), geometry.alias("geometry"))
+    text = F.struct(F.lit("FeatureCollection").alias("type"), _ordered("n_nationkey", feature).alias("features"))
+    # Coordinates go in as JSON, not as the text of it.
+    made = n.agg(F.to_json(text).alias("j")).select(F.regexp_replace("j", r'"coordinates":"([^"]*)"', r'"coordinates":$1').alias("j"))
+    path = _folder(spark, "regions")
+    made.select(F.concat(F.lit("registerMap('nations', "), "j", F.lit(");")).alias("value")).coalesce(1).write.text(path)
+    regions = read_regions(spark, path)
+    out = region_style(regions.select("ord", "id", "name", "geometry_type", F.size("coordinates").alias("polygons"), F.get(F.get(F.get(F.get("coordinates", F.lit(0)), F.lit(0)), F.lit(1)), F.lit(0)).alias("lng")), palette(spark))
+    return out.select("ord", "id", "name", "geometry_type", "polygons", "lng", "area_color")
+
+
+def json_places(spark, d):
+    """Places as an object keyed by code, written and read again."""
+    p = rail_places(spark, d)
+    one = F.struct(F.col("code").cast("string").alias("key"), F.struct(F.array("lng", "lat").alias("LatLng"), F.col("name").alias("name")).alias("value"))
+    path = _json_file(p.agg(F.map_from_entries(_ordered("code", one)).alias("j")), F.col("j"), _folder(spark, "places"))
+    return read_places(spark, path, RAIL)
+
+
+def _json_trips(spark, d) -> DataFrame:
+    """Trips of every tenth user as an array, written and read again; every other one has an information."""
+    stops = air_stops(spark, d).where("ord % 10 = 0").groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stop"))), lambda x: x["stop"]).alias("route"))
+    trip = F.struct(F.concat(F.lit("U"), F.col("ord").cast("string")).alias("code"), F.lit("20xx").alias("time"), F.col("route"), F.when(F.col("ord") % 20 == 0, F.lit("note")).alias("information"))
+    path = _json_file(stops.agg(_ordered("ord", trip).alias("j")), F.col("j"), _folder(spark, "trips"))
+    return read_trips(spark, path, AIR)
+
+
+def json_trips(spark, d):
+    t = _json_trips(spark, d)
+    return t.select("ord", "code", "time", F.size("route").cast("long").alias("stops"), F.array_join(F.transform("route", F.upper), " ").alias("route"), "information")
+
+
+def json_journeys(spark, d):
+    """Counts of the ends of trips that have come as JSON, with their places."""
+    return N.markers(air_places(spark), N.endpoint_counts(N.stops_of(_json_trips(spark, d)))).select("code", "name", "cnt")
+
+
+def strict_loads(spark, d):
+    """What is drawn, and whether a load has failed: all trips, those of known ends, and trips of a file that is no JSON."""
+    e = N.check_ends(_rail_edges(spark, d)).select("ord", "start_name", "end_name")
+    known = N.check_ends(_rail_edges(spark, d).where("start_known and end_known")).select("ord", "start_name", "end_name")
+    broken = _folder(spark, "broken")
+    spark.createDataFrame([('[{"code": "K1", "route": ["a"',)], "value string").coalesce(1).write.text(broken)
+    folder = _folder(spark, "drawn")
+    rows = []
+    for name, make in (("known", lambda: known), ("all", lambda: e), ("broken", lambda: read_trips(spark, broken, RAIL))):
+        n, error = J.load(spark, make, f"{folder}/{name}")
+        rows.append((name, n, error is not None, bool(error and "unknown place" in error)))
+    return spark.createDataFrame(rows, "load string, drawn long, failed boolean, by_unknown_place boolean")
+
+
+def hover_text(spark, d):
+    """Over edges their text, over markers their name."""
+    parts = {k: tuple(x.withColumn("id", F.col("ord" if "ord" in x.columns else "code").cast("string")) for x in v) for k, v in _parts(spark, d).items()}
+    return J.shown(J.combine(parts)).select("branch", "id", "kind", "hover")
+
+
+def layer_switch(spark, d):
+    """The flight layer out of layers that have been computed once, after another result had stood in their place."""
+    folder = _folder(spark, "layers")
+    J.replace_result(spark.range(3), folder)
+    J.prepare(_parts(spark, d), folder)
+    out = J.prepared(spark, folder, AIR)
+    return out.select("branch", F.coalesce(F.col("ord").cast("string"), "code").alias("id"), "rank", "cnt")
 
 
 def train_symbol_rules(spark, d):
@@ -132,8 +220,8 @@ def train_symbol_rules(spark, d):
 
 
 def period_range(spark, d):
-    p = table(spark, d, "orders").select(S.period(F.lit(RAIL), F.col("o_orderkey")).alias("period"))
-    return p.agg(F.min("period").alias("least"), F.max("period").alias("most"), F.count_distinct("period").alias("kinds"))
+    """How many trips have each period."""
+    return table(spark, d, "orders").select(S.period(F.lit(RAIL), F.col("o_orderkey")).alias("period")).groupBy("period").agg(F.count(F.lit(1)).alias("trips"))
 
 
 QUERIES = {
@@ -153,6 +241,12 @@ QUERIES = {
     "region_style": region_style_,
     "train_symbol_rules": train_symbol_rules,
     "period_range": period_range,
+    "json_places": json_places,
+    "json_trips": json_trips,
+    "json_journeys": json_journeys,
+    "strict_loads": strict_loads,
+    "hover_text": hover_text,
+    "layer_switch": layer_switch,
 }
 
 _sql = lambda v: "NULL" if v is None else repr(v)
@@ -188,6 +282,17 @@ def _flight_sql(code: str, dx: str) -> str:
     return f"CASE WHEN coalesce({code}, '') = '' THEN 'arrow' ELSE 'image://./images/飞机' || CASE WHEN {dx} < 0 THEN '反' ELSE '' END || '.png' END"
 
 
+_JSON = """
+WITH trip AS (SELECT *, 'U' || user_id AS code, CAST(row_number() OVER (ORDER BY user_id) - 1 AS INT) AS ord
+  FROM (SELECT user_id, list(event_type ORDER BY ts, event_id) AS route FROM events WHERE user_id % 10 = 0 GROUP BY user_id))
+"""
+
+
+def _line_sql(code: str, time: str, start: str, end: str, note: str) -> str:
+    parts = "".join(f"'{label}' || coalesce({x}, '') || '<br/>' || " for label, x in (("班次：", code), ("时间：", time), ("起点：", start), ("终点：", end)))
+    return f"{parts}CASE WHEN coalesce({note}, '') = '' THEN '' ELSE '记录：' || {note} END"
+
+
 _USER = "CASE WHEN ord % 5 = 0 THEN '' ELSE 'U' || CAST(ord AS VARCHAR) END"
 
 
@@ -210,12 +315,18 @@ SQL = {
     "pair_counts": f"{_CTE} SELECT start_lng, start_lat, end_lng, end_lat, count(*) AS cnt FROM edge GROUP BY ALL",
     "edge_direction_symbol": f"{_CTE}, lettered AS (SELECT edge.*, (['G', 'D', 'K', 'T', 'C'])[CAST(substr(o_orderpriority, 1, 1) AS INT)] AS letter FROM edge JOIN orders ON ord = o_orderkey) SELECT ord, letter, {_train_sql('letter', 'end_lng - start_lng')} AS symbol FROM lettered",
     "air_symbol": f"{_CTE} SELECT ord, {_flight_sql(_USER, 'end_lng - start_lng')} AS symbol FROM aedge",
-    "edge_tooltip": f"{_CTE} SELECT ord, '班次：' || coalesce(o_orderpriority, '') || '<br/>时间：' || coalesce(strftime(o_orderdate, '%Y-%m-%d'), '') || '<br/>起点：' || coalesce(start_name, '') || '<br/>终点：' || coalesce(end_name, '') || '<br/>' || CASE WHEN coalesce(o_orderstatus, 'F') IN ('F', '') THEN '' ELSE '记录：' || o_orderstatus END AS tooltip FROM edge JOIN orders ON ord = o_orderkey WHERE start_known AND end_known",
+    "edge_tooltip": f"{_CTE} SELECT ord, '班次：' || coalesce(o_orderpriority, '') || '<br/>时间：' || coalesce(strftime(o_orderdate, '%Y-%m-%d'), '') || '<br/>起点：' || coalesce(start_name, '') || '<br/>终点：' || coalesce(end_name, '') || '<br/>' || CASE WHEN coalesce(o_orderstatus, 'F') IN ('F', '') THEN '' ELSE '记录：' || o_orderstatus END AS tooltip FROM edge JOIN orders ON ord = o_orderkey",
     "layer_all": _layer_sql(0, 1, 2, 3),
     "layer_train": _layer_sql(0, 1),
     "layer_flight": _layer_sql(2, 3),
     "layer_unknown": _layer_sql(9),
-    "region_style": f"SELECT n_name AS name, area_color FROM nation JOIN (VALUES {', '.join(f'({_sql(a)}, {_sql(b)})' for a, b, _ in NATION_PALETTE)}) p(name, area_color) ON n_name = p.name",
+    "region_style": f"SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS ord, CAST(n_nationkey AS VARCHAR) AS id, p.name, CASE WHEN n_nationkey % 2 = 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, CAST(1 AS INT) AS polygons, CAST(n_nationkey + 1 AS DOUBLE) AS lng, area_color FROM nation JOIN (VALUES {', '.join(f'({i}, {_sql(n)}, {_sql(c)})' for i, (n, c, _) in enumerate(PALETTE[:COLOURED]))}) p(k, name, area_color) ON n_nationkey = p.k",
     "train_symbol_rules": f"SELECT k, {_train_sql('code', 'dx')} AS train, {_flight_sql('code', 'dx')} AS flight FROM (VALUES {', '.join(f'(CAST({i} AS BIGINT), {_sql(c)}, CAST({x} AS DOUBLE))' for i, (c, x) in enumerate(SYMBOL_CASES))}) t(k, code, dx)",
-    "period_range": "SELECT CAST(4 AS INT) AS least, CAST(8 AS INT) AS most, CAST(5 AS BIGINT) AS kinds",
+    "period_range": "SELECT CAST(CAST('0x' || substr(md5('train|' || o_orderkey), 1, 8) AS BIGINT) % 5 + 4 AS INT) AS period, count(*) AS trips FROM orders GROUP BY ALL",
+    "json_places": f"{_CTE} SELECT 'train' AS layer, CAST(code AS VARCHAR) AS code, CAST(row_number() OVER (ORDER BY code) - 1 AS INT) AS ord, lng, lat, name FROM place",
+    "json_trips": f"{_JSON} SELECT ord, code, '20xx' AS time, CAST(len(route) AS BIGINT) AS stops, array_to_string(list_transform(route, lambda x: upper(x)), ' ') AS route, CASE WHEN user_id % 20 = 0 THEN 'note' END AS information FROM trip",
+    "json_journeys": f"{_JSON} SELECT code, upper(code) AS name, count(*) AS cnt FROM (SELECT unnest([route[1], route[-1]]) AS stop FROM trip) JOIN (VALUES {', '.join(f'({_sql(c)})' for c, _, _ in AIR_PLACES)}) p(code) ON stop = code GROUP BY ALL",
+    "strict_loads": f"{_CTE} SELECT 'known' AS load, count(*) FILTER (start_known AND end_known) AS drawn, false AS failed, false AS by_unknown_place FROM edge UNION ALL SELECT 'all', CASE WHEN bool_and(start_known AND end_known) THEN count(*) ELSE 0 END, NOT bool_and(start_known AND end_known), NOT bool_and(start_known AND end_known) FROM edge UNION ALL SELECT 'broken', 0, true, false",
+    "hover_text": f"{_CTE}, ahead AS (SELECT ord, a, b, arg_min(stop, pos) AS x FROM astop JOIN aends USING (ord) GROUP BY ord, a, b) SELECT CAST(0 AS INT) AS branch, CAST(ord AS VARCHAR) AS id, 'lines' AS kind, {_line_sql('o_orderpriority', "strftime(o_orderdate, '%Y-%m-%d')", 'start_name', 'end_name', "nullif(o_orderstatus, 'F')")} AS hover FROM edge JOIN orders ON ord = o_orderkey UNION ALL SELECT 1, CAST(code AS VARCHAR), 'scatter', name FROM place JOIN counts ON code = stop UNION ALL SELECT 2, CAST(ord AS VARCHAR), 'lines', {_line_sql(_USER, "''", 'upper(p.code)', 'upper(q.code)', 'NULL')} FROM aedge JOIN ahead USING (ord) LEFT JOIN aplace p ON p.code = a LEFT JOIN aplace q ON q.code = b UNION ALL SELECT 3, code, 'scatter', upper(code) FROM aplace JOIN acounts ON code = stop",
+    "layer_switch": f"{_CTE} SELECT CAST(2 AS INT) AS branch, CAST(ord AS VARCHAR) AS id, rank, CAST(NULL AS BIGINT) AS cnt FROM aranked UNION ALL SELECT 3, code, NULL, cnt FROM aplace JOIN acounts ON code = stop",
 }

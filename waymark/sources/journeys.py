@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PLACES = "map<string,struct<LatLng:array<double>,name:string>>"
 TRIPS = "array<struct<code:string,time:string,route:array<string>,information:string>>"
+POLYGON = "array<array<array<double>>>"
 REGIONS = (
     "struct<features:array<struct<properties:struct<id:string,name:string,cp:array<double>,childNum:int>,"
     "geometry:struct<type:string,coordinates:string>>>>"
@@ -13,7 +14,7 @@ REGIONS = (
 
 
 def _whole(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("j"))
 
 
@@ -40,15 +41,22 @@ def read_trips(spark: SparkSession, path: str, layer: str) -> DataFrame:
     )
 
 
+#: What stands before the collection where it comes as a script that registers it.
+REGISTERED = r"""(?s)^.*?registerMap\(\s*(?:'[^']*'|"[^"]*")\s*,\s*"""
+
+
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    """A GeoJSON feature collection; polygons are brought to the depth of multipolygons."""
-    f = _whole(spark, path, REGIONS).select(F.posexplode("j.features").alias("ord", "f"))
-    shape = "array<array<array<array<double>>>>"
-    one = F.array(F.from_json("f.geometry.coordinates", shape[6:-1]))
-    many = F.from_json("f.geometry.coordinates", shape)
+    """A GeoJSON feature collection, bare or within a script that registers it; polygons are brought to the depth of
+    multipolygons. A geometry that is neither, or whose coordinates are of another depth, fails the job."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", REGISTERED, "").alias("value"))
+    strict = {"mode": "FAILFAST"}
+    f = text.select(F.from_json("value", REGIONS, strict).alias("j")).select(F.posexplode("j.features").alias("ord", "f"))
+    kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    one = F.array(F.from_json(raw, POLYGON, strict))
+    other = F.raise_error(F.concat(F.lit("geometry that is no polygon: "), F.coalesce(kind, F.lit("none"))))
     return f.select(
         "ord",
         "f.properties.*",
-        F.col("f.geometry.type").alias("geometry_type"),
-        F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(many).alias("coordinates"),
+        kind.alias("geometry_type"),
+        F.when(kind == "Polygon", one).when(kind == "MultiPolygon", F.from_json(raw, f"array<{POLYGON}>", strict)).otherwise(other).alias("coordinates"),
     )

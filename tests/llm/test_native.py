@@ -50,15 +50,35 @@ def test_secrets_by_hand(spark):
     assert got[1] == got[2] == []
 
 
-def test_ledger(spark):
-    docs = documents(spark)
-    first = secrets.extend(docs).cache()
-    assert first.count() == docs.select("text").na.fill("").distinct().count()
-    assert secrets.scan(docs, first).count() == 0 and secrets.unseen(docs, first).count() == 0
-    assert secrets.scan(docs, first, version="2").count() == secrets.scan(docs).count() > 0
+def test_ledger(spark, tmp_path):
+    docs, ledger = documents(spark), str(tmp_path / "ledger")
     key = lambda df: sorted((str(r.doc_id), r.blob, str(r.spans)) for r in df.collect())
-    assert key(secrets.find(docs, first)) == key(secrets.find(docs)) and len(key(secrets.find(docs))) == docs.count()
-    first.unpersist()
+    part = docs.where("hash % 2 = 0")
+    assert len(key(secrets.find(part, ledger))) == part.count()
+    first = spark.read.parquet(ledger).collect()
+    assert len({r.blob for r in first}) == len(first) == part.select("text").na.fill("").distinct().count()
+    assert secrets.unseen(part, ledger).count() == 0
+    # The rest: only what is new is scanned and appended.
+    new = {r.blob for r in secrets.unseen(docs, ledger).collect()}
+    all_ = key(secrets.find(docs, ledger))
+    both = spark.read.parquet(ledger).collect()
+    assert new and {r.blob for r in both} == new | {r.blob for r in first} and len(both) == len(new) + len(first)
+    assert all_ == key(secrets.find(docs)) and len(all_) == docs.count()
+    # A second run scans nothing and appends nothing.
+    secrets.extend(docs, ledger)
+    assert spark.read.parquet(ledger).count() == len(both) and key(secrets.find(docs, ledger)) == all_
+    # Other rules are another version: everything is scanned again, and the findings of the first stay.
+    base = key(secrets.find(docs, ledger, kinds=secrets.BASE))
+    assert base != all_ and spark.read.parquet(ledger).count() == 2 * len(both) and key(secrets.find(docs, ledger)) == all_
+
+
+def test_many_findings(monkeypatch, spark):
+    """Beyond what is broadcast."""
+    want = sorted((str(r.doc_id), str(r.spans)) for r in secrets.find(documents(spark)).collect())
+    clean = sorted(map(str, secrets.redact(documents(spark)).collect()))
+    monkeypatch.setattr(secrets, "FINDINGS", 0)
+    assert sorted((str(r.doc_id), str(r.spans)) for r in secrets.find(documents(spark)).collect()) == want
+    assert sorted(map(str, secrets.redact(documents(spark)).collect())) == clean
 
 
 def test_redact(spark):

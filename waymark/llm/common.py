@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, types as T
 from pyspark.sql.functions import broadcast
 
+from waymark.shared import shared_dir
+
 #: Rows that an operator holds as Python objects at a time.
 SLICE_ROWS = 256
 #: Bytes of text after which a slice ends early, so that very long texts do not add up.
@@ -88,23 +87,6 @@ def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where all of Spark is one process, and no folder is named, is it one of our own."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not d and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        d = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if not d:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        d = _own_dir()
-    return d
-
-
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="waymark-")
-
-
 #: Rows of keys (some 100 bytes each) up to which they are broadcast; more are joined by a shuffle.
 FEW = 200_000
 

@@ -21,19 +21,14 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is boilerplate on its host if at least ``least`` different documents there have it, and at least
-    ``share`` of them (0: their number alone counts). A document is depleted if more than ``depleted`` of its words are in
+    """A line is boilerplate on its host if at least ``least`` different documents there have it, however many the host has: a
+    share of them would grow with the host without bound. A document is depleted if more than ``depleted`` of its words are in
     such lines."""
 
     least: int = 20
-    share: float = 0.1
     depleted: float = 0.75
 
 
-#: The same number of documents at every size of a host: a share grows with the host without bound.
-ABSOLUTE = Limits(share=0.0)
-
-
 def repeat_words(words: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
     """For each document the number of words that stand in a window of words found twice or more in it."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -52,7 +47,7 @@ def repeat_words(words: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
         return out
     order = at[np.argsort(key[at], kind="stable")]
     same = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    for k in range(window):  # the words themselves, not only the window's hash
+    for k in range(window):  # the hashes of the words, not only the window's
         same[same] = ids[order[1:][same] + k] == ids[order[:-1][same] + k]
     again = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
     edge = np.zeros(total + 1, dtype=np.int64)
@@ -109,14 +104,12 @@ def text_id(text: Column) -> list[Column]:
 KEY = ["__host", "__a", "__b"]
 
 
-def boilerplate(lines: DataFrame, texts: DataFrame, limits: Limits) -> DataFrame:
-    """__host, line: those above the limits. Exact copies on a host are one document: copying a text makes no line boilerplate."""
-    per_line = lines.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limits.least)
-    per_host = texts.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"))
-    return per_line.join(per_host, "__host").where(F.col("n") >= limits.share * F.col("docs")).select("__host", "line")
+def boilerplate(lines: DataFrame, limits: Limits) -> DataFrame:
+    """__host, line: those above the limit. Exact copies on a host are one document: copying a text makes no line boilerplate."""
+    return lines.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limits.least).select("__host", "line")
 
 
-def verdicts(docs: DataFrame, limits: Limits = ABSOLUTE, text: str = "text", host: str = "source") -> DataFrame:
+def verdicts(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
     """One row for each different text of a host: figures, removed (line hashes), removed_words, kept.
 
     Texts are read once; figures and line hashes go to the shared folder. Lines are counted with partial sums,
@@ -126,17 +119,18 @@ def verdicts(docs: DataFrame, limits: Limits = ABSOLUTE, text: str = "text", hos
     seen = cut(profile(own, "__text").drop("__text"))
     texts = seen.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in FIGURES))
     lines = seen.select(*KEY, F.explode(F.arrays_zip("line_ids", "line_words")).alias("x")).groupBy("__host", F.col("x.line_ids").alias("line"), "__a", "__b").agg(F.max("x.line_words").alias("words"))
-    removed = lines.join(boilerplate(lines, texts, limits), ["__host", "line"]).groupBy(*KEY).agg(F.collect_list("line").alias("removed"), F.sum("words").alias("removed_words"))
+    removed = lines.join(boilerplate(lines, limits), ["__host", "line"]).groupBy(*KEY).agg(F.collect_list("line").alias("removed"), F.sum("words").alias("removed_words"))
     all_ = texts.join(removed, KEY, "left").withColumns({"removed": F.coalesce("removed", F.array().cast("array<long>")), "removed_words": F.coalesce("removed_words", F.lit(0)).cast("long"), "base_failed": base_failed()})
     return all_.withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= limits.depleted * F.col("n_words")))
 
 
-def judge(docs: DataFrame, limits: Limits = ABSOLUTE, text: str = "text", host: str = "source") -> DataFrame:
+def judge(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
     """docs with the figures, base_failed, removed (hashes of its boilerplate lines), removed_words and kept.
 
     Verdicts are made for each different text of a host and joined to all rows that have it: rows of equal
-    text and host, repeated ones too, get equal verdicts. A null host is the host "", a null text the empty
-    text, which fails for its length. Columns with the names of the new ones are replaced.
+    text and host, repeated ones too, get equal verdicts; ties of counts do not matter. A null host is the host "", a null
+    text the empty text, which fails for its length; a very long one is read whole. An empty table gives no rows.
+    Columns with the names of the new ones are replaced.
     """
     new = (*FIGURES, "base_failed", "removed", "removed_words", "kept")
     kept = [c for c in docs.columns if c.lower() not in new]
@@ -144,7 +138,7 @@ def judge(docs: DataFrame, limits: Limits = ABSOLUTE, text: str = "text", host:
     return keyed.join(verdicts(docs, limits, text, host), KEY, "left").select(*kept, *new)
 
 
-def apply(docs: DataFrame, limits: Limits = ABSOLUTE, text: str = "text", host: str = "source") -> DataFrame:
+def apply(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
     """The kept documents without their boilerplate lines; columns as they were. Texts are not moved while the verdicts
     that change something are few enough to broadcast."""
     change = small(verdicts(docs, limits, text, host).where(~F.col("kept") | (F.size("removed") > 0)).select(*KEY, F.when(F.col("kept"), F.col("removed")).alias("__removed"), F.col("kept").alias("__kept")))
@@ -177,8 +171,7 @@ dup AS (SELECT k, count(*) - count(DISTINCT l) AS n FROM line WHERE n > 0 GROUP
 grams AS (SELECT k, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
 again AS (SELECT k, i FROM grams QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
 rep AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest(range(i, i + {WINDOW})) AS j FROM again) GROUP BY k),
-hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
-freq AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT t) AS n FROM line WHERE n > 0 GROUP BY ALL) JOIN hosts USING (host) WHERE n >= {limits.least} AND n >= {limits.share} * docs),
+freq AS (SELECT host, norm FROM line WHERE n > 0 GROUP BY ALL HAVING count(DISTINCT t) >= {limits.least}),
 gone AS (SELECT k, sum(n) AS n FROM line JOIN freq USING (host, norm) WHERE n > 0 GROUP BY k),
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words

@@ -20,8 +20,7 @@ def op1_maxent_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_line_frequency(spark: SparkSession, d: str) -> DataFrame:
-    # The limits of its SQL, which asks for a share of the host too; the pipeline does not.
-    out = quality.judge(table(spark, d, "documents").select("doc_id", "text", "source"), quality.Limits())
+    out = quality.judge(table(spark, d, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", *quality.FIGURES, "base_failed", "kept", "removed_words")
 
 
@@ -30,8 +29,9 @@ def op3_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, d: str) -> DataFrame:
-    # The kinds of its SQL, where the span of a private key is the line before it; redact and the pipeline have all of it.
-    found = secrets.find(table(spark, d, "documents").select("doc_id", "text"), version="1", kinds=secrets.KINDS)
+    # A ledger of this run's own: every content is scanned once, written to it, and joined back from it. The kinds are those of
+    # the SQL, where the span of a private key is the line before it; redact and the pipeline have all of it.
+    found = secrets.find(table(spark, d, "documents").select("doc_id", "text"), kinds=secrets.KINDS)
     of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
     base = [k.name for k in secrets.BASE]
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]

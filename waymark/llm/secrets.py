@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from waymark.shared import shared_dir
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -23,8 +27,6 @@ class Kind:
     least: int = 0
 
 
-#: Changes with any change of a rule, so that every blob is scanned again.
-RULE_VERSION = "3"
 # A run of the wanted length is asked for where no shorter match could hide a longer one: a match that is
 # too short ends where its run of characters ends, and nothing longer begins inside it. In an assignment
 # something can, so those are matched whole and dropped afterwards.
@@ -89,64 +91,86 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def unseen(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text") -> DataFrame:
-    """blob, rule_version: the contents that the ledger does not hold under this version of the rules."""
-    out = docs.select(blob_id(F.col(text)).alias("blob"), F.lit(version).alias("rule_version")).distinct()
-    return out if ledger is None else out.join(ledger.select("blob", "rule_version"), ["blob", "rule_version"], "left_anti")
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
-    """blob, rule_version, spans: new lines of the ledger that have findings.
+def version_of(kinds: tuple[Kind, ...]) -> str:
+    """Another one after any change of a rule, so that every blob is scanned again."""
+    return hashlib.sha256(repr(kinds).encode()).hexdigest()[:16]
 
-    Each content is scanned once, however many documents have it. Texts without any hint of a secret have
-    no findings, so only the others are moved to meet their copies. The copies of one content meet in
-    partial results first, so a large group of them sends one row from each partition.
-    """
-    some = docs.where(may_hold(F.col(text), kinds)).select(blob_id(F.col(text)).alias("blob"), F.col(text).alias("text"))
-    blobs = some.groupBy("blob").agg(F.first("text").alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    return blobs.select("blob", F.lit(version).alias("rule_version"), spans(F.col("text"), kinds).alias("spans")).where(F.size("spans") > 0)
+
+def read_ledger(spark: SparkSession, ledger: str, kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
+    """blob, rule_version, spans of what the ledger holds under these rules; nothing where there is no ledger yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version_of(kinds))
+
+
+def unseen(docs: DataFrame, ledger: str, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
+    """blob and text of the contents that the ledger lacks under these rules, each once; the text is null where no hint of a
+    secret is in it, so only texts with one are moved to meet their copies. Copies meet in partial results first: a
+    large group of them sends one row from each partition."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    blobs = docs.select(blob_id(F.col(text)).alias("blob"), F.when(may_hold(t, kinds), t).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    return blobs.join(read_ledger(docs.sparkSession, ledger, kinds).select("blob"), "blob", "left_anti")
+
+
+def extend(docs: DataFrame, ledger: str, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> None:
+    """Scans every content that the ledger lacks, once, and appends it with its findings, or with none. One scan of docs;
+    Spark commits what is appended as a whole."""
+    found = F.when(F.col("text").isNotNull(), spans(F.col("text"), kinds)).otherwise(F.array().cast(SPANS))
+    unseen(docs, ledger, text, kinds).select("blob", F.lit(version_of(kinds)).alias("rule_version"), found.alias("spans")).write.mode("append").parquet(ledger)
+
+
+#: Findings (some 100 bytes each) and blobs that have any, up to which these are broadcast.
+FINDINGS = 500_000
 
 
-def extend(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
-    """What to append to the ledger after a run: every unseen content with its findings, or with none."""
-    found = scan(docs, ledger, version, text, kinds)
-    return unseen(docs, ledger, version, text).join(found, ["blob", "rule_version"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+def joined(docs: DataFrame, ledger: str, text: str = "text", kinds: tuple[Kind, ...] = WHOLE, blob: str = "blob", into: str = "spans") -> DataFrame:
+    """docs with the id of its content and the content's findings in the ledger. Blobs with findings are broadcast while
+    they and their findings are few; beyond that texts with a hint of a secret, which alone can have any, are moved."""
+    found = read_ledger(docs.sparkSession, ledger, kinds).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    # Two runs at a time on one ledger may both append a blob.
+    found = found.groupBy("__blob").agg(F.first("__spans").alias("__spans"))
+    blobs, many = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__spans")), F.lit(0))).head()
+    none = F.array().cast(SPANS)
+    base = docs.withColumn(blob, blob_id(F.col(text)))
+    if blobs + many <= FINDINGS:
+        return base.join(F.broadcast(found), F.col(blob) == F.col("__blob"), "left").select(*docs.columns, blob, F.coalesce("__spans", none).alias(into))
+    hint = may_hold(F.coalesce(F.col(text), F.lit("")), kinds)
+    some = base.where(hint).join(found, F.col(blob) == F.col("__blob"), "left").select(*docs.columns, blob, F.coalesce("__spans", none).alias(into))
+    return some.unionByName(base.where(~hint).select(*docs.columns, blob, none.alias(into)))
 
 
-def find(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
-    """docs with blob and spans: the findings of its content, from the ledger or scanned now, on every row that has it.
+def find(docs: DataFrame, ledger: str | None = None, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
+    """docs with blob and spans: the findings of its content, on every row that has it.
 
-    A null text counts as empty; without findings spans is an empty array. Rows, ties and other columns
-    stay; columns named blob or spans are replaced.
+    The ledger, a table of every content that has been scanned under any rules, is extended by what it lacks, and then has all
+    findings; a later run on the same and more documents scans only the new ones. Without a path a new ledger is begun
+    in the shared folder. A null text counts as empty, a very long one is scanned whole; without findings spans
+    is an empty array. Rows, ties and other columns stay; columns named blob or spans are replaced. An empty table gives none.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("blob", "spans")]
-    found = scan(docs, ledger, version, text, kinds)
-    if ledger is not None:
-        found = found.unionByName(ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "rule_version", "spans"))
-    found = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    # Only texts with a hint can have findings: the others skip the join.
-    base = docs.select(*kept, blob_id(F.col(text)).alias("blob"))
-    key = F.when(may_hold(F.col(text), kinds), F.col("blob"))
-    some = base.where(key.isNotNull()).join(found, F.col("blob") == F.col("__blob"), "left").select(*kept, "blob", F.coalesce("__spans", F.array().cast(SPANS)).alias("spans"))
-    rest = base.where(key.isNull()).select(*kept, "blob", F.array().cast(SPANS).alias("spans"))
-    return some.unionByName(rest)
-
-
-def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", **how) -> DataFrame:
-    """docs with every span of a secret replaced; overlapping spans become one mask. Columns stay as they are."""
-    own = docs.withColumn("__text", F.col(text))
-    found = find(own.select("__text", F.struct(*docs.columns).alias("__row")), text="__text", **how)
-    t = F.col("__text")
+    ledger = ledger or f"{shared_dir(docs.sparkSession)}/ledger-{uuid.uuid4()}"
+    extend(docs, ledger, text, kinds)
+    return joined(docs.select(*(c for c in docs.columns if c.lower() not in ("blob", "spans"))), ledger, text, kinds)
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]", ledger: str | None = None, text: str = "text", kinds: tuple[Kind, ...] = WHOLE) -> DataFrame:
+    """docs with every span of a secret replaced; overlapping spans become one mask. Columns, whatever their names, stay as
+    they are; so do null and empty texts, and repeated rows. The ledger is used as by :func:`find`."""
+    ledger = ledger or f"{shared_dir(docs.sparkSession)}/ledger-{uuid.uuid4()}"
+    extend(docs, ledger, text, kinds)
+    found = joined(docs, ledger, text, kinds, "__blob_id", "__found")
+    t = F.col(text)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         new = F.concat(acc["out"], F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.length(t))))
-    return found.select("__row.*", F.when(F.size("spans") > 0, clean).otherwise(t).alias("__clean")).select(*(F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns))
+    clean = F.aggregate("__found", zero, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.length(t))))
+    return found.select(*(F.when(F.size("__found") > 0, clean).otherwise(t).alias(c) if c == text else F.col(c) for c in docs.columns))
 
 
 def listed(spans_: Column) -> Column:

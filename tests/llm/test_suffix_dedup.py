@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.llm import cases
@@ -54,10 +55,13 @@ def mixed(rng, n):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_mixed(spark, tmp_path, seed, monkeypatch):
+    """In small pieces of everything, and with all anchors frequent or none."""
     rng = random.Random(seed)
-    if seed == 2:
+    if seed > 1:
+        monkeypatch.setattr(S.remove_repeats, "__defaults__", (*S.remove_repeats.__defaults__[:2], {2: 6, 3: 0}[seed]))
+    if seed > 1:
         monkeypatch.setattr(S, "CHUNK_BYTES", (2000, 2000))
         monkeypatch.setattr(S, "PRINTS", 300)
         monkeypatch.setattr(S, "CONTEXTS", 50)
@@ -73,6 +77,65 @@ def test_odd(spark, tmp_path):
     assert op6_suffix_dedup(spark, cases.write(spark, tmp_path / "b", documents=cases.none(spark))).count() == 0
 
 
+def test_one_phrase_in_all_surroundings(spark, tmp_path, monkeypatch):
+    """A phrase of fewer than 50 bytes, and one of 49 with one more, in thousands of texts: no task gets all of it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    phrase = "this phrase of 34 bytes is common."
+    rows = [(i, " ".join([*(word() for _ in range(20)), phrase, rng.choice("xyz") * 16, *(word() for _ in range(20))])) for i in range(3000)]
+    sizes = []
+    real = S.earlier
+    monkeypatch.setattr(S, "earlier", lambda found: (sizes.append(found), real(found))[1])
+    monkeypatch.setattr(S, "CHUNK_BYTES", (20_000, 20_000))
+    monkeypatch.setattr(S, "CONTEXTS", 500)
+    monkeypatch.setattr(S.remove_repeats, "__defaults__", (*S.remove_repeats.__defaults__[:2], 100))
+    check(spark, cases.write(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string")))
+    of = sizes[0].selectExpr("bucket", "octet_length(hash) / 8 AS n").groupBy("bucket").sum("n").toPandas()["sum(n)"]
+    assert of.max() < of.sum() / 10
+
+
+def test_repeated_rows(spark, tmp_path):
+    """Rows of one text, without id or of one id, thousands of times: they go as one."""
+    a, b, c = "no id and many times " * 5, "one id and many times " * 5, "both of them and more " * 5
+    rows = [(None, a)] * 3000 + [(5, b)] * 3000 + [(None, c), (None, c), (9, c), (9, c), (7, b + "x"), (2**63 - 1, a), (None, a + "y"), (None, "short"), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(spark, cases.write(spark, tmp_path, documents=df))
+
+
+def test_clashing_columns(spark):
+    docs = cases.odd(spark).selectExpr("*", "1 AS d", "'x' AS chunk", "2 AS none", "3 AS __a", "'k' AS kept", "4 AS times")
+    want = sorted(map(str, S.remove_repeats(cases.odd(spark)).collect()))
+    assert sorted(map(str, S.remove_repeats(docs).collect())) == want
+
+
+def test_equal_keys_of_different_bytes(monkeypatch):
+    """Where hashes of contexts agree though their bytes do not, they get others."""
+    real = S.Anchors.__init__
+
+    def few(self, raw):
+        real(self, raw)
+        self.key = self.key % np.uint64(7)
+
+    monkeypatch.setattr(S.Anchors, "__init__", few)
+    texts = mixed(random.Random(1), 60)
+    x = S.Chunk(pd.DataFrame({"text": texts, "d": range(60)}))
+    bytes_ = [x.flat[a : a + n + S.LENGTH].tobytes() for a, n in zip(x.at.tolist(), x.more.tolist(), strict=True)]
+    assert len({*zip(bytes_, x.key.tolist(), strict=True)}) == len({*bytes_}) == len({*x.key.tolist()}) > 20
+    one = np.zeros(len(x.at), dtype=np.int64)
+    assert [not u for u in S.unequal(x.flat, x.at, x.at[one], x.more + S.LENGTH, x.more[one] + S.LENGTH)] == [b == bytes_[0] for b in bytes_]
+
+
+def test_quicksort():
+    rng = np.random.default_rng(4)
+    for n, kinds in ((0, 1), (1, 1), (2000, 3), (2000, 10**9), (500, 1)):
+        run = np.sort(rng.integers(0, 9, n))
+        v = rng.integers(0, kinds, n).astype(np.uint64)
+        order, part = S._quicksort(v, run)
+        pairs = [(int(run[i]), int(v[i])) for i in order]
+        assert pairs == sorted(zip(run.tolist(), v.tolist(), strict=True)) and sorted(order.tolist()) == list(range(n))
+        assert [part[i] != part[i - 1] for i in range(1, n)] == [pairs[i] != pairs[i - 1] for i in range(1, n)]
+
+
 def test_sorted_runs():
     rng = np.random.default_rng(3)
     for shallow in (0, 1, 2, 5):

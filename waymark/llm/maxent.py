@@ -12,7 +12,10 @@ A word's class comes from its ending, so every word has one, seen or not. Words
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import copy
+import functools
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -20,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import cut, lists, release, slices, with_columns
+from waymark.llm.common import cut, cut_rows, drop, lists, release, slices, with_columns
 from waymark.llm.sketch import mix
 
 CLASSES = 64
@@ -31,27 +34,41 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what the driver and each task hold, whatever the corpus has."""
+    """How large the model is and how it learns. What is not given here follows from the corpus, and grows with it as far as
+    workers can hold the model."""
 
     #: Words whose counts every task knows; the counts of all others come by a join.
     head: int = 1 << 18
-    #: Words with a place of their own in their class.
-    vocabulary: int = 1 << 15
-    #: Weight rows of each kind of feature, as a power of two.
-    row_bits: int = 13
+    #: Words with a place of their own in their class: a 16th of all different words, as a power of two within VOCABULARY_BITS.
+    vocabulary: int | None = None
+    #: Weight rows of each kind of feature, as a power of two: four times the root of the number of tokens, within ROW_BITS.
+    row_bits: int | None = None
     batch: int = 8192
-    rate: float = 0.3
+    rate: float = 0.5
     #: Tokens that a task counts before it hands on their numbers.
     counted: int = 3_000_000
-    #: Bytes of text for one task of training: a 5,000th of the input within these bounds. Each sends its whole gradient
-    #: once (15 MB), so gradients come to a third of a small input and to a hundredth of a very large one.
-    train_bytes: tuple[int, int] = (48 << 20, 1 << 30)
+    #: Bytes of text that are learnt from in one go, at least; and as many times the model's bytes.
+    piece_bytes: int = 2 << 20
+    piece_models: int = 1
+    #: Times at which what pieces have learnt is brought together.
+    rounds: int = 3
     #: Parts of a gradient, and gradients added in one task.
     chunks: int = 32
     fan_in: int = 32
     smoothing: float = 2.0
 
+    def sized(self, tokens: int, words: int) -> Settings:
+        """With the sizes that follow from the numbers of tokens and of different words."""
+        bits = lambda x, ends: min(max(x, ends[0]), ends[1])
+        return replace(
+            self,
+            row_bits=self.row_bits if self.row_bits is not None else bits((tokens.bit_length() + 4) // 2, ROW_BITS),
+            vocabulary=self.vocabulary if self.vocabulary is not None else 1 << bits(words.bit_length() - 4, VOCABULARY_BITS),
+        )
 
+
+#: The largest model has 3 * 2^17 rows of 64 weights (100 MB) and 2^16 words of 64 numbers (17 MB).
+ROW_BITS, VOCABULARY_BITS = (12, 17), (14, 16)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _WHITE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _MARK = np.array([b in _MARKS for b in range(256)])
@@ -195,7 +212,7 @@ def head_of(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Everything that scoring needs; its size depends on the settings alone."""
+    """Everything that scoring needs."""
 
     settings: Settings
     head: np.ndarray
@@ -205,10 +222,14 @@ class Model:
     bias: np.ndarray
     rest: np.ndarray  # log10 of the mass that the words beyond the vocabulary share, by class
     weights: np.ndarray
-    words: np.ndarray  # log10 of a word in its class, by the class before
+    seen: np.ndarray  # how often a piece has seen each row's feature, on the whole
+    words: np.ndarray | None = None  # log10 of a word in its class, by the class before
 
     def __post_init__(self):
         self.table = Table(self.head)
+        k = min(self.settings.vocabulary, len(self.head))
+        #: The class of each place of the vocabulary, -1 where there is no such word, and of the places that others share.
+        self.class_of = np.concatenate([(self.head[:k] & _U(CLASSES - 1)).astype(np.int64), np.full(self.settings.vocabulary - k, -1), np.arange(CLASSES)])
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the head, or -1, and place among the words and shared places of the vocabulary."""
@@ -254,90 +275,179 @@ def _sums(g: np.ndarray, at: np.ndarray, start: np.ndarray, n: np.ndarray, few:
     return out
 
 
-def _train(m: Model, texts_of, out: dict) -> None:
-    """Gradient steps over a task's texts on its own copy of the weights, and the counts of words after classes."""
-    s = m.settings
-    seen = out["seen"]
-    for texts in texts_of:
+class Learner:
+    """Gradient steps over the texts of one piece, from a model's weights, and the counts of words after classes.
+
+    Steps are made of ``batch`` tokens, counted from the piece's first, however the texts come."""
+
+    def __init__(self, m: Model, pieces: int):
+        self.m = copy.copy(m)
+        self.start, self.m.weights = m.weights, m.weights.copy()
+        #: What the steps are scaled by goes on from what one piece of the rounds before has seen.
+        self.before = m.seen / np.float32(pieces)
+        self.seen = np.zeros(len(m.weights), dtype=np.float32)
+        self.rows, self.cls = np.zeros((FEATURES, 0), dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.codes: list[np.ndarray] = []
+        self.counted: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def feed(self, texts: list) -> None:
+        m = self.m
         ids, sizes = token_ids(texts)
         rows, before = m.features(ids, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        cls = (ids & _U(CLASSES - 1)).astype(np.int64)
-        width = s.vocabulary + CLASSES
-        out["words"] += np.bincount(before * width + m.places(ids)[1], minlength=CLASSES * width)
-        for a in range(0, len(ids), s.batch):
-            r, c = rows[:, a : a + s.batch], cls[a : a + s.batch]
-            g = m.class_scores(r)
-            np.exp(g, out=g)
-            g *= (-1 / g.sum(axis=1))[:, None]
-            g[np.arange(len(c)), c] += 1
-            # All features at once: the rows of different kinds are different.
-            flat = r.ravel()
-            order = np.argsort(flat.astype(np.uint16) if len(seen) <= 1 << 16 else flat, kind="stable")
-            at = flat[order]
-            start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            own, n = at[start], np.diff(np.append(start, len(at)))
-            seen[own] += n
-            step = _sums(g, order % len(c), start, n)
-            step *= (s.rate / np.sqrt(1 + seen[own]))[:, None]
-            m.weights[own] += step
+        self.codes.append((before * (m.settings.vocabulary + CLASSES) + m.places(ids)[1]).astype(np.int32))
+        if sum(map(len, self.codes)) > m.settings.counted:
+            self._count()
+        self.rows = np.concatenate([self.rows, rows.astype(np.int32)], axis=1)
+        self.cls = np.concatenate([self.cls, (ids & _U(CLASSES - 1)).astype(np.int32)])
+        at, batch = 0, m.settings.batch
+        for at in range(0, len(self.cls) - batch + 1, batch):
+            self._step(self.rows[:, at : at + batch], self.cls[at : at + batch])
+        done = len(self.cls) // batch * batch
+        self.rows, self.cls = self.rows[:, done:], self.cls[done:]
+
+    def _count(self) -> None:
+        if self.codes:
+            self.counted.append(np.unique(np.concatenate(self.codes), return_counts=True))
+            self.codes = []
+
+    def _step(self, r: np.ndarray, c: np.ndarray) -> None:
+        m = self.m
+        g = m.class_scores(r)
+        np.exp(g, out=g)
+        g *= (-1 / g.sum(axis=1))[:, None]
+        g[np.arange(len(c)), c] += 1
+        # All features at once: the rows of different kinds are different.
+        flat = r.ravel()
+        order = np.argsort(flat.astype(np.uint16) if len(self.seen) <= 1 << 16 else flat, kind="stable")
+        at = flat[order]
+        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        own, n = at[start], np.diff(np.append(start, len(at)))
+        self.seen[own] += n
+        step = _sums(g, order % len(c), start, n)
+        step *= (m.settings.rate / np.sqrt(1 + self.before[own] + self.seen[own]))[:, None]
+        m.weights[own] += step
+
+    def result(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """kind, chunk, places, numbers: of weights (0), by ranges of rows, the rows that have changed and by how much; of words (1),
+        by class, pairs of the class before and the word."""
+        if len(self.cls):
+            self._step(self.rows, self.cls)
+        self._count()
+        s = self.m.settings
+        ends = np.linspace(0, len(self.seen), s.chunks + 1).astype(np.int64)
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            at = a + np.flatnonzero(self.seen[a:b])
+            yield 0, i, at, self.seen[at], self.m.weights[at] - self.start[at]
+        if self.counted:
+            at, inverse = np.unique(np.concatenate([x for x, _ in self.counted]), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate([x for _, x in self.counted]))
+            cls = self.m.class_of[at % (s.vocabulary + CLASSES)]
+            for i in np.unique(cls).tolist():
+                yield 1, i, at[cls == i], n[cls == i], np.zeros((0, CLASSES), dtype=np.float32)
+
+
+LEARNT = "kind int, chunk int, piece long, at binary, n binary, v binary"
+
+
+def _learnt(texts: DataFrame, held, pieces: int) -> DataFrame:
+    """What each piece (piece, k, __text; in order) has learnt, as the rows it has seen."""
+
+    def rows(piece: int, own: Learner) -> Iterator[pa.RecordBatch]:
+        for kind, chunk, at, n, v in own.result():
+            # Changes of weights in half precision: the shuffle moves half as much.
+            cells = [[kind], [chunk], [piece], [at.astype(np.uint32).tobytes()], [n.astype(np.float32).tobytes()], [v.astype(np.float16).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[x.split()[0] for x in LEARNT.split(", ")])
+
+    def run(batches):
+        piece, own = None, None
+        for x in chain.from_iterable(slices(b, "__text") for b in batches):
+            of = x.column(0).to_numpy()
+            turns = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(turns, turns[1:]):
+                if piece != int(of[a]):
+                    if own:
+                        yield from rows(piece, own)
+                    piece, own = int(of[a]), Learner(held.value, pieces)
+                own.feed(x.column(1).slice(a, b - a).to_pylist())
+        if own:
+            yield from rows(piece, own)
+        release()
+
+    return texts.mapInArrow(run, LEARNT)
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sum of several parts of one chunk, changes times their numbers, in the order of their pieces, so that it is the same
+    whatever task has which."""
+    pdf = pdf.sort_values("piece")
+    ats = [np.frombuffer(x, dtype=np.uint32) for x in pdf["at"]]
+    at = np.unique(np.concatenate(ats))
+    weights = pdf["kind"].iloc[0] == 0
+    n, v = np.zeros(len(at)), np.zeros((len(at) if weights else 0, CLASSES), dtype=np.float32)
+    for x, y, z in zip(ats, pdf["n"], pdf["v"], strict=True):
+        i, first = np.searchsorted(at, x), len(y) == 4 * len(x)
+        own = np.frombuffer(y, dtype=np.float32 if first else np.float64)
+        n[i] += own
+        if weights:
+            change = np.frombuffer(z, dtype=np.float16 if first else np.float32).reshape(-1, CLASSES)
+            v[i] += change.astype(np.float32) * own[:, None].astype(np.float32) if first else change
+    return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "piece": pdf["piece"].iloc[:1], "at": [at.tobytes()], "n": [n.tobytes()], "v": [v.tobytes()]})
 
 
 def train(docs: DataFrame, text: str, counts: DataFrame, s: Settings, text_bytes: int) -> Model:
     """The model of all texts.
 
-    From the counts come the head, the biases and the shared masses. Then each task makes gradient steps on its own
-    texts, from the same start; a weight row is the mean of the tasks' rows, by how often each has seen its
-    feature. What tasks send is summed as a tree, so no task holds more than fan_in parts.
+    From the counts come the head, the biases and the shared masses. Texts are dealt into pieces, and within them ordered,
+    by their hash; the number of pieces follows from the input's size alone. In each round some of the pieces make gradient
+    steps, all from the same weights; then a weight row becomes the mean of the pieces' rows, by how often each has seen its
+    feature. What pieces send is summed as a tree, so no task holds more than fan_in parts, and in a fixed order:
+    neither partitions nor cores change the model. Words in their classes are fitted last, a task for each class.
     """
+    mass, different = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        mass[r["k"]], different[r["k"]] = r["n"], r["v"]
+    s = s.sized(int(mass.sum()), int(different.sum()))
     h, c = head_of(counts, s.head)
     in_vocabulary = np.zeros(CLASSES, dtype=np.float64)
     kinds = np.zeros(CLASSES, dtype=np.float64)
     k = min(s.vocabulary, len(h))
     np.add.at(in_vocabulary, (h[:k] & _U(CLASSES - 1)).astype(np.int64), c[:k])
     np.add.at(kinds, (h[:k] & _U(CLASSES - 1)).astype(np.int64), 1)
-    mass, different = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.groupBy(F.col("h").bitwiseAND(F.lit(CLASSES - 1)).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        mass[r["k"]], different[r["k"]] = r["n"], r["v"]
     width, rows = s.vocabulary + CLASSES, FEATURES << s.row_bits
     m = Model(
         s, h, c, int(mass.sum()), int(different.sum()),
         np.log((mass + 1) / (mass.sum() + CLASSES)).astype(np.float32),
         np.log10(mass - in_vocabulary + different - kinds + 1),
-        np.zeros((rows, CLASSES), dtype=np.float32), np.zeros((CLASSES, width), dtype=np.float32),
+        np.zeros((rows, CLASSES), dtype=np.float32), np.zeros(rows, dtype=np.float32),
     )
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(m)
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        v = held.value
-        own = Model(s, v.head, v.head_counts, v.n, v.v, v.bias, v.rest, v.weights.copy(), v.words)
-        out = {"seen": np.zeros(rows, dtype=np.float32), "words": np.zeros(CLASSES * width, dtype=np.int64)}
-        _train(own, (x.column(text).to_pylist() for b in batches for x in slices(b, text)), out)
-        flat = np.concatenate([(own.weights * out["seen"][:, None]).ravel(), out["seen"], out["words"].astype(np.float32)])
-        for i, part in enumerate(np.array_split(flat, s.chunks)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([part.tobytes()])], names=["chunk", "task", "v"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["v"].iloc[0]) // 4, dtype=np.float32)
-        for v in pdf["v"]:
-            total += np.frombuffer(v, dtype=np.float32)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "task": pdf["task"].iloc[:1], "v": [total.tobytes()]})
-
-    tasks = max(spark.sparkContext.defaultParallelism, -(-text_bytes // min(max(text_bytes // 5000, s.train_bytes[0]), s.train_bytes[1])))
-    tasks = max(1, min(tasks, docs.rdd.getNumPartitions()))
-    sums = docs.select(text).coalesce(tasks).mapInArrow(run, "chunk int, task int, v binary")
-    while tasks > 1:
-        sums = sums.withColumn("task", F.floor(F.col("task") / s.fan_in).cast("int")).groupBy("chunk", "task").applyInPandas(add, "chunk int, task int, v binary")
-        tasks = -(-tasks // s.fan_in)
-    parts = {r["chunk"]: np.frombuffer(r["v"], dtype=np.float32) for r in sums.collect()}
-    held.unpersist()
-    if parts:
-        flat = np.concatenate([parts[i] for i in range(s.chunks)])
-        w, seen, after = np.split(flat, [rows * CLASSES, rows * CLASSES + rows])
-        m.weights = (w.reshape(rows, CLASSES) / np.maximum(seen, 1)[:, None]).astype(np.float32)
-        m.words = _fit_words(after.reshape(CLASSES, width).astype(np.float64), np.concatenate([(h[:k] & _U(CLASSES - 1)).astype(np.int64), np.full(s.vocabulary - k, -1), np.arange(CLASSES)]), s)
+    pieces = max(1, text_bytes // max(s.piece_bytes, s.piece_models * m.weights.nbytes))
+    rounds = min(s.rounds, pieces)
+    each = pieces // rounds
+    own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    keyed = own.select(F.pmod(F.xxhash64("__text"), F.lit(rounds * each)).alias("piece"), F.xxhash64(F.lit(1), "__text").alias("__k"), "__text")
+    tables = []
+    for turn in range(rounds):
+        # More partitions than pieces, so that few of them get two.
+        held = spark.sparkContext.broadcast(m)
+        part = keyed.where(F.col("piece") % rounds == turn).repartition(8 * each, "piece").sortWithinPartitions("piece", "__k", "__text").select("piece", "__text")
+        sums, left = _learnt(part, held, each), each
+        while True:
+            group = F.floor(F.col("piece") / F.lit(rounds * s.fan_in)).alias("group")
+            sums = sums.groupBy("kind", "chunk", group).applyInPandas(_added, LEARNT).withColumn("piece", F.floor(F.col("piece") / F.lit(rounds * s.fan_in)) * rounds)
+            left = -(-left // s.fan_in)
+            if left == 1:
+                break
+        tables.append(cut_rows(sums))
+        new = m.weights.copy()
+        for r in tables[-1].where("kind = 0").toLocalIterator():
+            at, n = np.frombuffer(r["at"], dtype=np.uint32), np.frombuffer(r["n"], dtype=np.float64)
+            new[at] += np.frombuffer(r["v"], dtype=np.float32).reshape(-1, CLASSES) / np.maximum(n, 1)[:, None].astype(np.float32)
+            m.seen[at] += n.astype(np.float32)
+        held.unpersist()
+        m = replace(m, weights=new)
+    m.words = _fitted(tables, m)
+    drop(*tables)
     return m
 
 
@@ -346,22 +456,42 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _fit_words(n: np.ndarray, cls: np.ndarray, s: Settings, turns: int = 30) -> np.ndarray:
-    """Weights of words and of words after classes that make the counts likely, as log10 probabilities.
+def _fit_words(x: np.ndarray, smoothing: float, turns: int = 30) -> np.ndarray:
+    """Weights of words and of words after classes that make the counts of one class likely, as log10 probabilities.
 
-    n: counts by class before and word. Gradient steps scaled by the curvature; weights of words after classes are held
+    x: counts by class before and word. Gradient steps scaled by the curvature; weights of words after classes are held
     near 0 by a penalty, without which a pair that was not seen would be impossible.
     """
-    out = np.zeros(n.shape, dtype=np.float32)
-    for c in range(CLASSES):
-        own = np.flatnonzero(cls == c)
-        x = n[:, own]
-        z = np.broadcast_to(np.log((x.sum(axis=0) + 0.5) / (x.sum() + 0.5 * len(own))), x.shape)
-        u, total = np.zeros(x.shape), x.sum(axis=1, keepdims=True)
-        for _ in range(turns):
-            p = _softmax(z + u)
-            u += np.clip(0.5 * (x - total * p - s.smoothing * u) / (total * p + s.smoothing), -1, 1)
-        out[:, own] = np.log10(np.maximum(_softmax(z + u), 1e-30))
+    z = np.broadcast_to(np.log((x.sum(axis=0) + 0.5) / (x.sum() + 0.5 * x.shape[1])), x.shape)
+    u, total = np.zeros(x.shape), x.sum(axis=1, keepdims=True)
+    for _ in range(turns):
+        p = _softmax(z + u)
+        u += np.clip(0.5 * (x - total * p - smoothing * u) / (total * p + smoothing), -1, 1)
+    return np.log10(np.maximum(_softmax(z + u), 1e-30))
+
+
+def _fitted(tables: list[DataFrame], m: Model) -> np.ndarray:
+    """Words in their classes, from what the rounds have counted: each class, whose counts are enough for its gradient, is
+    fitted in a task of its own."""
+    s, class_of = m.settings, m.class_of
+    width = s.vocabulary + CLASSES
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = int(pdf["chunk"].iloc[0])
+        own = np.flatnonzero(class_of == c)
+        x = np.zeros((CLASSES, len(own)))
+        for at, n in zip(pdf["at"], pdf["n"], strict=True):
+            code = np.frombuffer(at, dtype=np.uint32)
+            x[code // width, np.searchsorted(own, code % width)] += np.frombuffer(n, dtype=np.float64)
+        return pd.DataFrame({"chunk": [c], "v": [_fit_words(x, s.smoothing).astype(np.float32).tobytes()]})
+
+    every = functools.reduce(DataFrame.unionByName, tables).where("kind = 1").select("chunk", "at", "n")
+    out = np.zeros((CLASSES, width), dtype=np.float32)
+    for c in range(CLASSES):  # what was never seen: as likely as anything else of its class
+        own = np.flatnonzero(class_of == c)
+        out[:, own] = -np.log10(max(len(own), 1))
+    for r in every.groupBy("chunk").applyInPandas(run, "chunk int, v binary").toLocalIterator():
+        out[:, class_of == r["chunk"]] = np.frombuffer(r["v"], dtype=np.float32).reshape(CLASSES, -1)
     return out
 
 
@@ -404,6 +534,9 @@ def score(docs: DataFrame, held_out, settings: Settings = Settings(), text: str
     The model learns from all rows where the boolean expression held_out is false or null, and scores all rows.
     A null or empty text is one token, the end. Columns with the names of the new ones are replaced.
 
+    Neither the partitions of docs nor the cores change a score, but for the rounding of sums. A very long text is scored whole;
+    ties of counts are broken by the words' hashes; an empty table gives no rows.
+
     Every token of every text is counted and trained on. Frequent words are counted in each task before they are
     moved. Words beyond the head, none of which is frequent, are looked up by a join on their hash. Rows that are equal
     meet in that join as one text, and their sums are divided by their number.

@@ -1,5 +1,7 @@
 """URL filters, secret scans and license scans, held against their SQL."""
 
+import random
+
 import pytest
 
 from tests.llm import cases
@@ -151,3 +153,34 @@ def test_naming_words(spark):
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     got = {r.doc_id: [(b.label, b.word, b.containment) for b in r.blocks] for r in licenses.find(df).collect()}
     assert got.pop(10) == [("cc-by-nc", 0, 1.0)] and not any(got.values())
+
+
+def test_whole_licenses_from_a_table(spark):
+    """Long texts as templates: wrapped, with a tenth of the words changed they are found, with a third not."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(900)}" for _ in range(400)]
+    other = [f"v{rng.randrange(900)}" for _ in range(300)]
+    table = spark.createDataFrame([("long", " ".join(words).upper()), ("other", "\n".join(other)), ("none", None), (None, "a b. c")], "label string, text string")
+    templates = licenses.templates_of(table)
+    assert [x[0] for x in templates] == ["", "long", "other"] and templates[0][1] == "a b c"
+    changed = lambda share: "\n".join(" ".join("new" if rng.random() < share else w for w in words[i : i + 9]) for i in range(0, 400, 9))
+    texts = {1: f"before it {changed(0.1)} after", 2: changed(0.33), 3: None, 4: "x a - b c", 5: " ".join(words[:200])}
+    got = {r.doc_id: [b.label for b in r.blocks] for r in licenses.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), templates).collect()}
+    assert got == {1: ["long"], 2: [], 3: [], 4: [""], 5: []}
+    assert licenses.find(documents(spark), ()).where("size(blocks) > 0").count() == 0
+
+
+def test_clashing_license_columns(spark):
+    docs = documents(spark).selectExpr("*", "1 AS n_words", "'x' AS blocks", "2 AS score", "3 AS places", "4 AS label")
+    out = licenses.find(docs)
+    assert out.columns == ["doc_id", "text", "source", "ids", "spans", "hash", "label", "n_words", "places", "blocks", "score"]
+    assert sorted(map(str, out.drop("label").collect())) == sorted(map(str, licenses.find(documents(spark)).collect()))
+
+
+def test_rules_from_a_table(spark):
+    table = spark.createDataFrame([("com/en/", "block", None, None), ("shop", "block", "/cart(?:/|$)", ["cart"]), ("ok", "allow", "/cart/free", ["cart", "free"])], "name string, action string, pattern string, tokens array<string>")
+    rules = urls.rules_of(table)
+    pages_ = spark.createDataFrame([(1, "http://x.com/en/a"), (2, "http://x.org/cart/1"), (3, "http://x.org/carts"), (4, "http://x.org/cart/free")], "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages_, rules).collect()} == {1: ("com/en/", "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "block")}
+    with pytest.raises(ValueError, match="action"):
+        urls.rules_of(spark.createDataFrame([("x", "maybe", None, None)], "name string, action string, pattern string, tokens array<string>"))

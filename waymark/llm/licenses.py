@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,10 +34,15 @@ SHORT = 8
 NAMES = frozenset("mit apache cc by nc creative commons attribution gnu general mozilla proprietary 0 2 3 4".split())
 
 
-def lines_of(text: Column) -> Column:
-    """Blocks of a text: the words of each of its lines."""
-    low = lower_ascii(F.coalesce(text, F.lit("")))
-    return F.transform(F.split(low, "\n", -1), lambda x: F.array_remove(F.split(x, BREAK, -1), ""))
+def words_of(text: Column) -> Column:
+    """The words of a text, in order."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK, -1), "")
+
+
+def templates_of(table: DataFrame, label: str = "label", text: str = "text") -> tuple[tuple[str, str], ...]:
+    """Templates out of a table of labels and notices or whole license texts, which is a set of rules and no corpus."""
+    rows = table.select(F.coalesce(label, F.lit("")).alias("label"), F.array_join(words_of(F.col(text)), " ").alias("text"))
+    return tuple((r["label"], r["text"]) for r in rows.distinct().orderBy("label", "text").collect() if r["text"])
 
 
 def places(words: Column, phrase: str) -> Column:
@@ -54,67 +60,71 @@ def every(conditions: list[Column]) -> Column:
     return out
 
 
-def need(template: list[str], threshold: float) -> int:
-    return math.ceil(threshold * len(template) - 1e-9)
+def wants(tokens: list[str], threshold: float) -> int:
+    """How many of its distinct words a template wants."""
+    return len(tokens) if len(tokens) <= SHORT else math.ceil(threshold * len(tokens) - 1e-9)
+
+
+def span(template: str, threshold: float) -> int:
+    """How many words a block that may meet the template has."""
+    return math.ceil(len(template.split()) / threshold - 1e-9)
 
 
 def token_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, int]:
-    """In how many blocks of all documents each token of the vocabulary is: one number a token for the driver."""
-    v = F.array(*map(F.lit, vocabulary))
-    tokens = docs.select(F.explode(F.flatten(F.transform(lines_of(F.col(text)), lambda b: F.array_intersect(v, b)))).alias("token"))
+    """How many documents have each token of the vocabulary: one number a token for the driver."""
+    tokens = docs.select(F.explode(F.array_intersect(_constant(vocabulary, "array<string>"), words_of(F.col(text)))).alias("token"))
     return {r["token"]: r["n"] for r in tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, text: str = "text", by_line: bool = False) -> DataFrame:
+def _constant(value, kind: str) -> Column:
+    """A value of any size as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs with n_words, places (struct of label and first word), blocks (struct of first word, label and
     containment) and score (the largest containment, 1 where a phrase stands, else 0).
 
     A block is any run of words of the whole text, across its lines, as long as the template divided by ``threshold``. It
     meets a template if it has at least ``threshold`` of the template's distinct words, all of them if the template is
-    SHORT, and all of the template's NAMES. Of blocks of one template that overlap the one with most words counts.
+    SHORT, and all of the template's NAMES. Of blocks of one template that overlap the one with most words counts, of ties
+    the first.
 
-    With ``by_line``, as the SQL has it, a block is a line of any length (struct of line, label and containment), and the
-    threshold is all that is asked. The
-    words of all templates are put in one order, the rarest in the corpus first. A template of n words
+    The words of all templates are put in one order, the rarest in the corpus first. A template of n words
     that wants m of them shares one of its first n - m + 1 with every block that meets it, so only these are
-    indexed. A block's own words, in the same order, fetch templates from the index; one goes on
-    only if what follows in both can still reach m, and its whole overlap is then counted. A block with fewer
+    indexed. A text's own words, in the same order, fetch templates from the index; one goes on
+    only if what follows in both can still reach m, and then its blocks are counted. A text with fewer
     than m words of any template is passed over before.
 
     Each document is judged by itself: no row is moved but the partial counts of the templates' words. A
-    null or empty text has no words. Rows, ties and other columns stay; columns with the names of the new
-    ones are replaced.
+    null or empty text has no words, a very long one is gone through whole; an empty table gives no rows. Rows, ties and
+    other columns stay; columns with the names of the new ones are replaced.
     """
+    templates = [(label, t) for label, t in templates if t]
     tokens = [sorted(set(t.split())) for _, t in templates]
     vocabulary = sorted({w for t in tokens for w in t})
     seen = token_counts(docs, vocabulary, text)
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     tokens = [sorted(t, key=rank.__getitem__) for t in tokens]
-    wanted = [len(t) if len(t) <= SHORT and not by_line else need(t, threshold) for t in tokens]
-    spans = [math.ceil(len(t.split()) / threshold - 1e-9) for _, t in templates]
-    index: dict[str, list[tuple[int, int]]] = {}
+    wanted = [wants(t, threshold) for t in tokens]
+    index: dict[str, list[dict]] = {}
     for k, t in enumerate(tokens):
         for i, w in enumerate(t[: len(t) - wanted[k] + 1]):
-            index.setdefault(w, []).append((k, i))
-    entry = lambda k, i: F.struct(F.lit(k).alias("t"), F.lit(len(tokens[k]) - 1 - i).alias("after"), F.lit(wanted[k]).alias("need"))
-    fetch = F.create_map(*(x for w, at in index.items() for x in (F.lit(w), F.array(*(entry(*y) for y in at)))))
-    named = lambda t: F.array(*(F.lit(w) for w in t if w in NAMES)).cast("array<string>").alias("names")
-    more = lambda t, k: [] if by_line else [named(t), F.lit(spans[k]).alias("span")]
-    known = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t)).alias("tokens"), F.lit(len(t)).alias("n"), F.lit(wanted[k]).alias("need"), *more(t, k)) for k, ((label, _), t) in enumerate(zip(templates, tokens, strict=True))))
-    least = min(wanted)
+            index.setdefault(w, []).append({"t": k, "after": len(t) - 1 - i, "need": wanted[k]})
+    fetch = _constant(index, "map<string,array<struct<t:int,after:int,need:int>>>")
+    known = _constant(
+        [{"label": label, "tokens": t, "n": len(t), "need": wanted[k], "names": [w for w in t if w in NAMES], "span": span(raw, threshold)} for k, ((label, raw), t) in enumerate(zip(templates, tokens, strict=True))],
+        "array<struct<label:string,tokens:array<string>,n:int,need:int,names:array<string>,span:int>>",
+    )
+    least = min(wanted, default=1)
 
     def candidates(b: Column) -> Column:
-        """b: a block's words that any template has, in the common order. Of a template that several words
+        """b: a text's words that any template has, in the common order. Of a template that several words
         fetch the first one counts: no word before it is shared, so what follows bounds the overlap."""
         got = F.transform(b, lambda w, j: F.filter(F.coalesce(fetch[w], F.array()), lambda e: F.least(e["after"], F.size(b) - 1 - j) + 1 >= e["need"]))
         return F.array_distinct(F.transform(F.flatten(got), lambda e: e["t"]))
 
-    def met(b: Column) -> Column:
-        sized = F.transform(candidates(b), lambda t: F.struct(F.get(known, t).alias("t"), F.size(F.array_intersect(F.get(known, t)["tokens"], b)).alias("shared")))
-        good = F.filter(sized, lambda x: x["shared"] >= x["t"]["need"])
-        return F.transform(good, lambda x: F.struct(x["t"]["label"].alias("label"), (x["shared"] / x["t"]["n"]).alias("containment")))
-
     def runs(words: Column, t: Column) -> Column:
         """Where the template stands: word, label and containment of each run that meets it."""
 
@@ -135,20 +145,12 @@ def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
 
     new = ("n_words", "places", "blocks", "score")
     kept = [c for c in docs.columns if c.lower() not in new]
-    all_ = F.array(*map(F.lit, order))
-    own = docs.select(*kept, lines_of(F.col(text)).alias("__lines"))
-    if by_line:
-        own = own.select(*kept, F.flatten("__lines").alias("__words"), F.transform("__lines", lambda b: F.array_intersect(all_, b)).alias("__blocks"))
-        none = F.array().cast("array<struct<line:int,label:string,containment:double>>")
-        numbered = F.transform("__blocks", lambda b, i: F.transform(F.when(F.size(b) >= least, met(b)).otherwise(F.array()), lambda x: F.struct(i.alias("line"), x["label"], x["containment"])))
-        found = F.when(F.exists("__blocks", lambda b: F.size(b) >= least), F.flatten(numbered)).otherwise(none)
-    else:
-        # Whatever a run shares with a template the whole text shares with it too.
-        own = own.select(*kept, F.flatten("__lines").alias("__words"))
-        own = own.withColumn("__words_known", F.array_intersect(all_, "__words"))
-        none = F.array().cast("array<struct<word:int,label:string,containment:double>>")
-        stood = F.transform(candidates(F.col("__words_known")), lambda t: runs(F.col("__words"), F.get(known, t)))
-        found = F.when(F.size("__words_known") >= least, F.flatten(stood)).otherwise(none)
+    # Whatever a run shares with a template the whole text shares with it too.
+    own = docs.select(*kept, words_of(F.col(text)).alias("__words"))
+    own = own.withColumn("__words_known", F.array_intersect(_constant(order, "array<string>"), "__words"))
+    none = F.array().cast("array<struct<word:int,label:string,containment:double>>")
+    stood = F.transform(candidates(F.col("__words_known")), lambda t: runs(F.col("__words"), F.get(known, t)))
+    found = F.when(F.size("__words_known") >= least, F.flatten(stood)).otherwise(none)
     labelled = lambda label: lambda i: F.struct(F.lit(label).alias("label"), i.alias("word"))
     stand = F.concat(*(F.transform(places(F.col("__words"), p), labelled(label)) for p, label in phrases))
     out = own.select(*kept, F.size("__words").cast("long").alias("n_words"), stand.alias("places"), found.alias("blocks"))
@@ -157,14 +159,15 @@ def find(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
 
 
 def sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> str:
-    values = ", ".join(f"('{label}', {sorted(set(t.split()))}, {need(sorted(set(t.split())), threshold)})" for label, t in templates)
+    distinct = lambda t: sorted(set(t.split()))
+    values = ", ".join(f"({i}, '{label}', {distinct(t)}, {wants(distinct(t), threshold)}, {span(t, threshold)}, CAST({[w for w in distinct(t) if w in NAMES]} AS VARCHAR[]))" for i, (label, t) in enumerate(templates))
     parts = [f"SELECT k, '{label}' AS label, i - 1 AS word FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, '{max(p.split(), key=len)}')) WHERE w[i:i+{len(p.split()) - 1}] = {p.split()}" for p, label in phrases]
-    cut = lambda c: f"list_filter(string_split_regex({c}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
-WITH d AS (SELECT k, doc_id, t, {cut("t")} AS w FROM (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)),
-tpl(label, tokens, need) AS (VALUES {values}),
-line AS (SELECT k, list_distinct({cut("l")}) AS b FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d)),
-met AS (SELECT k, label, len(list_intersect(tokens, b)) / CAST(len(tokens) AS DOUBLE) AS c FROM line, tpl WHERE list_has_any(b, tokens) AND len(list_intersect(tokens, b)) >= need),
+WITH d AS (SELECT k, doc_id, list_filter(string_split_regex(t, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)),
+tpl(i, label, tokens, need, span, names) AS (VALUES {values}),
+near AS (SELECT k, label, tokens, need, span, names, w FROM d, tpl WHERE len(list_intersect(tokens, list_distinct(w))) >= need AND list_has_all(w, names)),
+run AS (SELECT k, label, tokens, need, names, w[j:j+span-1] AS r FROM (SELECT *, unnest(range(1, len(w) + 1)) AS j FROM near) WHERE list_contains(tokens, w[j])),
+met AS (SELECT k, label, len(list_intersect(tokens, list_distinct(r))) / CAST(len(tokens) AS DOUBLE) AS c FROM run WHERE list_has_all(r, names) AND len(list_intersect(tokens, list_distinct(r))) >= need),
 place AS ({" UNION ALL ".join(parts)}),
 p AS (SELECT k, count(*) AS n, min(word) AS a, max(word) AS b, list(DISTINCT label) AS labels FROM place GROUP BY k),
 m AS (SELECT k, max(c) AS c, list(DISTINCT label) AS labels FROM met GROUP BY k)

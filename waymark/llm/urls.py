@@ -51,6 +51,17 @@ OTHER_RULES = (
 )
 
 
+def rules_of(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules out of a table of name, action, pattern and tokens; a row without pattern is a site rule by its name. The table is a
+    set of rules and no corpus."""
+    out = []
+    for r in table.select("name", "action", "pattern", "tokens").distinct().orderBy("name", "pattern").collect():
+        if r["action"] not in ("block", "allow"):
+            raise ValueError(f"{r['name']}: no such action as {r['action']}")
+        out.append(site_rule(r["action"], r["name"]) if r["pattern"] is None else Rule(r["name"], r["action"], r["pattern"], tuple(r["tokens"] or ())))
+    return tuple(out)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
@@ -68,8 +79,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + OTHER_RULES,
     rules; only these run their pattern. Without a match the verdict is allow.
 
     The verdict depends on the url alone, so distinct urls are matched, and a page repeated many times
-    costs one row in the join. Null and empty urls have no tokens. Rows, ties and other columns stay;
-    columns with the names of the new ones are replaced.
+    costs one row in the join. Null and empty urls have no tokens, very long ones are read whole; an empty table gives no
+    rows. Rows, ties and other columns stay; columns with the names of the new ones are replaced. Thousands of rules, which
+    :func:`rules_of` reads, are a table of their own that Spark broadcasts while it is small.
     """
     for r in rules:
         if not r.tokens:

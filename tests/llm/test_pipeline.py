@@ -30,7 +30,7 @@ def test_stages_and_run(spark, tmp_path):
         stage(spark, docs, d).write.parquet(f"{d}/{k}")
         docs = spark.read.parquet(f"{d}/{k}")
         kept.append({r.doc_id: r for r in docs.collect()})
-        assert docs.columns == (DOCS_COLUMNS if k < 4 else ["doc_id", "lang", "source", "n_tokens", "ids"])
+        assert docs.columns == (DOCS_COLUMNS if k < 4 else ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids"])
     want = {i for i, t, *_ in rows if len((t or "").split()) >= 20 and i != 133}
     assert kept[0].keys() == want
     pairs = [(i, t) for i, t, *_ in rows if i in want and i != 122] + [(122, kept[0][122].text)]
@@ -56,8 +56,22 @@ def test_odd_and_empty(spark, tmp_path):
         assert [r.doc_id for r in C.run(spark, d).collect()] == ([None] if name == "odd" else [])
 
 
-def test_extra_columns_stay(spark):
-    docs = cases.odd(spark)
+def test_extra_columns_stay(spark, tmp_path):
+    """Columns whose names the stages use themselves, through each stage and all of them."""
+    more = ["1 AS n_words", "'x' AS kept", "2 AS n_hit", "3 AS spans", "4 AS blob", "5 AS node", "6 AS removed", "7 AS component_id", "8 AS item_ids", "true AS base_failed"]
+    rows, items = corpus()
+    plain, own = spark.createDataFrame(rows, DOCS), spark.createDataFrame(rows, DOCS).selectExpr("*", *more)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = cases.write(spark, tmp_path / "own", documents=own, benchmark=b)
+    for _, stage in C.STAGES[:4]:
+        out = stage(spark, own, d)
+        assert out.columns == own.columns
+        assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, stage(spark, plain, d).collect()))
+    last = C.run(spark, d)
+    assert last.columns == ["doc_id", "lang", "source", "n_chars", *(m.split(" AS ")[1] for m in more), "n_tokens", "ids"]
+    e = cases.write(spark, tmp_path / "plain", documents=plain, benchmark=b)
+    assert sorted(map(str, last.select("doc_id", "n_tokens", "ids").collect())) == sorted(map(str, C.run(spark, e).select("doc_id", "n_tokens", "ids").collect()))
+    odd = cases.odd(spark)
     for f in (quality.apply, secrets.redact):
-        assert f(docs).columns == docs.columns
+        assert f(odd).columns == odd.columns
     assert shingles("", 5) == set()

@@ -57,7 +57,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     """df with the token ids of each text as array<int>; no special tokens.
 
     A null or empty text has an empty array. A column of the name ``ids`` is replaced; all others,
-    repeated rows and ties are kept as they are. Texts of any length are encoded whole, in pieces.
+    repeated rows and ties are kept as they are. Texts of any length are encoded whole, in pieces. An empty table gives no rows.
     """
     return with_columns(df, text, f"{ids} array<int>", _encode, lambda: (path, pattern))
 

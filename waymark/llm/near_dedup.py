@@ -6,11 +6,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from waymark.llm.common import cut, cut_rows, drop, lists, small, with_columns
+from waymark.llm.common import cut, cut_rows, drop, lists, release, small, with_columns
 from waymark.llm.components import components
 from waymark.llm.sketch import bands, parities, set_ids, shingle_sets, sketches
 
@@ -175,25 +174,57 @@ def _dealt(members: DataFrame, s: Settings, block: int) -> DataFrame:
     return a.unionByName(b)
 
 
-def _sides(pdf: pd.DataFrame, kind: str):
-    for own in (pdf[pdf["asks"]], pdf[~pdf["asks"]]):
-        yield [np.frombuffer(v, dtype=kind) if isinstance(v, bytes) else np.asarray(v, dtype=kind) for v in own["x"]], own["n"].to_numpy(), own["component"].to_numpy()
+_MEET = ("key", "g", "i", "j")
+
+
+def _meetings(dealt: DataFrame, f, schema: str) -> DataFrame:
+    """f over each group of rows that meet, as one record batch. Groups are small and many, so they are cut out of whole
+    batches of sorted rows; a task holds one batch and one group."""
+
+    def groups_of(batches):
+        rest = None
+        for b in batches:
+            if rest is not None:
+                b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            keys = [b.column(c).to_numpy() for c in _MEET]
+            turn = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1 if len(b) > 1 else np.zeros(0, dtype=np.int64)
+            ends = [0, *turn.tolist()]
+            for x, y in zip(ends, ends[1:]):
+                yield b.slice(x, y - x)
+            rest = b.slice(ends[-1])
+        if rest is not None and len(rest):
+            yield rest
+
+    def run(batches):
+        for g in groups_of(b for b in batches if len(b)):
+            asks = g.column("asks").to_numpy(zero_copy_only=False)
+            if asks.any() and not asks.all():
+                yield f(g, asks)
+        release()
+
+    return dealt.repartition(*_MEET).sortWithinPartitions(*_MEET).mapInArrow(run, schema)
+
+
+def _sides(g: pa.RecordBatch, asks: np.ndarray, kind: str):
+    """Sets, sizes and components of those that ask, and of the others."""
+    x = [np.frombuffer(v, dtype=kind) if isinstance(v, bytes) else np.asarray(v, dtype=kind) for v in g.column("x").to_pylist()]
+    n, component = g.column("n").to_numpy(), g.column("component").to_numpy()
+    for own in (asks, ~asks):
+        yield [x[k] for k in np.flatnonzero(own)], n[own], component[own]
 
 
 def _maybe(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Those members that their parities allow a link with a member of the same bucket and another component."""
     dealt = _dealt(members, s, s.wide).join(sets.select("id", "n", F.col("parity").alias("x")), "id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, d = _sides(pdf, "<u8")
-        if not len(q[0]) or not len(d[0]):
-            return pdf[["key", "id"]][:0]
-        good = np.zeros(len(pdf), dtype=bool)
-        asks = pdf["asks"].to_numpy()
+    def run(g: pa.RecordBatch, asks: np.ndarray) -> pa.RecordBatch:
+        good = np.zeros(len(g), dtype=bool)
+        q, d = _sides(g, asks, "<u8")
         good[asks], good[~asks] = _near(*q, *d, s.percent)
-        return pdf.loc[good, ["key", "id"]]
+        at = np.flatnonzero(good)
+        return pa.RecordBatch.from_arrays([pa.array(g.column(c).to_numpy()[at]) for c in ("key", "id")], names=["key", "id"])
 
-    found = dealt.groupBy("key", "g", "i", "j").applyInPandas(run, "key long, id long").distinct()
+    found = _meetings(dealt, run, "key long, id long").distinct()
     return members.join(found, ["key", "id"], "left_semi")
 
 
@@ -202,13 +233,13 @@ def _within(members: DataFrame, sets: DataFrame, s: Settings, short: bool = True
     32-bit ends, and links have to be verified."""
     dealt = _dealt(members, s, s.block).join(sets.select("id", "n", F.col("short" if short else "shingles").alias("x")), "id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, d = _sides(pdf, "<u4" if short else "<i8")
-        found = _union(*q, *d, s.percent) if len(q[0]) and len(d[0]) else []
-        a, b = (pdf["id"][pdf["asks"] == x].to_numpy() for x in (True, False))
-        return pd.DataFrame({"a": [a[x] for x, _ in found], "b": [b[y] for _, y in found]}, dtype="int64")
+    def run(g: pa.RecordBatch, asks: np.ndarray) -> pa.RecordBatch:
+        q, d = _sides(g, asks, "<u4" if short else "<i8")
+        found = np.array(_union(*q, *d, s.percent), dtype=np.int64).reshape(-1, 2)
+        id_ = g.column("id").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(id_[asks][found[:, 0]]), pa.array(id_[~asks][found[:, 1]])], names=["a", "b"])
 
-    return dealt.groupBy("key", "g", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    return _meetings(dealt, run, "a long, b long").distinct()
 
 
 def _more_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare
+from waymark.operators import network as N
 from waymark.plans import queries as J
 
 D = "/root/testdata/sf0.001"
@@ -25,3 +26,16 @@ def test_loads_fail_and_succeed(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(J.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_layers_read_stops_once(spark):
+    """Edges, ranks and markers come from the kept ends of trips, not each from all stops again."""
+    out = J._layer("all")(spark, D)
+    files = out.inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
+
+
+def test_places_are_broadcast(spark):
+    """A few places meet the stops where these are."""
+    plan = N.trip_ends(J.rail_stops(spark, D), J.rail_places(spark, D))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -110,6 +110,30 @@ def test_rank_over_spans(spark):
     assert max(r for _, r in want) == 197
 
 
+def test_rank_joins_nothing(spark):
+    """No trip is moved again to meet the count of those before, and positions may be null or zero of either sign."""
+    rows = [("train", i, x, 0.0, 1.0, y) for i, (x, y) in enumerate([(0.0, None), (-0.0, None), (None, 1.0), (0.0, None), (None, 1.0), (0.0, 1.0)])]
+    e = spark.createDataFrame(rows, "layer string, ord long, start_lng double, start_lat double, end_lng double, end_lat double")
+    for span in (1, 2, 100):
+        ranked = N.edge_rank(e, span)
+        assert [r["rank"] for r in ranked.orderBy("ord").collect()] == [0, 1, 0, 2, 1, 0]
+        assert "Join" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ends_of_odd_stops(spark):
+    """Stops without a place in the trip, of no known name, twice in one place."""
+    rows = [(0, None, "a"), (0, 1, "a"), (0, 2, None), (1, None, "a"), (1, None, "b"), (2, 1, "a"), (2, 1, "a"), (3, 2, "b"), (3, 1, "?"), (3, 3, "c")]
+    stops = spark.createDataFrame([("train", *r) for r in rows], "layer string, ord long, pos int, stop string")
+    ends = N.trip_ends(stops, made(spark)[1])
+    got = {r.ord: (r.n_known, r.first, r.last, r.start_lng, r.end_lng, r.start_name, r.end_name, r.start_known, r.end_known) for r in ends.collect()}
+    assert got[0] == (2, "a", None, 10.0, 10.0, "Aa", None, True, False)
+    assert got[1][:5] == (2, None, None, None, None)
+    assert got[2] == (2, "a", "a", 10.0, 10.0, "Aa", "Aa", True, True)
+    assert got[3] == (2, "?", "c", 11.0, 12.0, None, "Cc", False, True)
+    key = lambda df: sorted((str(r.stop), r.cnt) for r in df.collect())
+    assert key(N.counts_of(ends)) == key(N.endpoint_counts(stops))
+
+
 def test_regions_in_a_script(spark, tmp_path):
     ring = [[0, 0], [1, 0], [0, 1], [0, 0]]
     feature = lambda kind, c: {"type": "Feature", "properties": {"id": "1", "name": "n)", "cp": [0, 1], "childNum": 1}, "geometry": {"type": kind, "coordinates": c}}

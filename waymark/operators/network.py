@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 TRIP = ("layer", "ord")
+#: How trips are grouped and joined: by the number first, as a sort by it is fast, and one by a layer's name is not.
+BY = ("ord", "layer")
 PAIR = ("layer", "start_lng", "start_lat", "end_lng", "end_lat")
 
 
@@ -21,7 +23,12 @@ def stops_of(trips: DataFrame) -> DataFrame:
 
 def endpoint_counts(stops: DataFrame) -> DataFrame:
     """How often each stop begins or ends a trip; a trip of one stop counts twice for it."""
-    ends = stops.groupBy(*TRIP).agg(F.min_by("stop", "pos").alias("first"), F.max_by("stop", "pos").alias("last"))
+    ends = stops.groupBy(*BY).agg(F.min_by("stop", "pos").alias("first"), F.max_by("stop", "pos").alias("last"))
+    return counts_of(ends)
+
+
+def counts_of(ends: DataFrame) -> DataFrame:
+    """:func:`endpoint_counts` from what :func:`trip_ends` gives."""
     return (
         ends.select("layer", F.explode(F.array("first", "last")).alias("stop"))
         .groupBy("layer", "stop")
@@ -32,29 +39,23 @@ def endpoint_counts(stops: DataFrame) -> DataFrame:
 def resolved_stops(stops: DataFrame, places: DataFrame) -> DataFrame:
     """Stops that are known places, in order, numbered from 0 among those."""
     known = stops.join(places.withColumnRenamed("code", "stop"), ["layer", "stop"])
-    rank = F.row_number().over(Window.partitionBy(*TRIP).orderBy("pos")) - 1
+    rank = F.row_number().over(Window.partitionBy(*BY).orderBy("pos")) - 1
     return known.withColumn("k", rank.cast("long"))
 
 
-def edges(stops: DataFrame, places: DataFrame) -> DataFrame:
-    """One edge per trip of at least two known stops, from the first to the last of them.
-
-    start_known and end_known tell whether the trip's own first and last stop is known, which
-    :func:`check_ends` demands. A stop that is no known place is passed over.
-    """
+def trip_ends(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """Of each trip the first and last stop, their names and whether they are known, how many stops are known, and
+    where the first and last of these are. One aggregate, from which :func:`edges_of` and :func:`counts_of` are taken."""
     found = stops.join(places.select("layer", F.col("code").alias("stop"), "name", "lng", "lat", F.lit(True).alias("known")), ["layer", "stop"], "left")
-    at = F.struct("lng", "lat")
-    own = F.struct("name", F.coalesce("known", F.lit(False)).alias("known"))
-    pos = F.when(F.col("known"), F.col("pos"))
-    ends = found.groupBy(*TRIP).agg(
-        F.count("known").alias("n_known"),
-        F.min_by(at, pos).alias("a"),
-        F.max_by(at, pos).alias("b"),
-        F.min_by(own, "pos").alias("s"),
-        F.max_by(own, "pos").alias("e"),
-    )
-    return ends.where("n_known > 1").select(
+    # The least and greatest of whole rows that begin with pos; those without one have no place in the trip.
+    own = F.when(F.col("pos").isNotNull(), F.struct("pos", "stop", "name", F.coalesce("known", F.lit(False)).alias("known")))
+    at = F.when(F.col("pos").isNotNull() & F.col("known"), F.struct("pos", "lng", "lat"))
+    ends = found.groupBy(*BY).agg(F.count("known").alias("n_known"), F.min(own).alias("s"), F.max(own).alias("e"), F.min(at).alias("a"), F.max(at).alias("b"))
+    return ends.select(
         *TRIP,
+        "n_known",
+        F.col("s.stop").alias("first"),
+        F.col("e.stop").alias("last"),
         F.col("a.lng").alias("start_lng"),
         F.col("a.lat").alias("start_lat"),
         F.col("b.lng").alias("end_lng"),
@@ -66,6 +67,20 @@ def edges(stops: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
+def edges(stops: DataFrame, places: DataFrame) -> DataFrame:
+    """One edge per trip of at least two known stops, from the first to the last of them.
+
+    start_known and end_known tell whether the trip's own first and last stop is known, which
+    :func:`check_ends` demands. A stop that is no known place is passed over.
+    """
+    return edges_of(trip_ends(stops, places))
+
+
+def edges_of(ends: DataFrame) -> DataFrame:
+    """:func:`edges` from what :func:`trip_ends` gives."""
+    return ends.where("n_known > 1").drop("n_known", "first", "last")
+
+
 def check_ends(edges_: DataFrame) -> DataFrame:
     """Fails the job on an edge whose trip begins or ends at an unknown stop.
 
@@ -81,17 +96,17 @@ def edge_rank(edges_: DataFrame, span: int = 1 << 20) -> DataFrame:
 
     Trips are numbered within their pair and within ``span`` places of the source, and what the spans before
     have of the pair is added. So however many trips a pair has, no task numbers more than span of them.
+    That number comes as a row of its own before the trips of its pair and span, so one window adds it up and no trip is
+    moved again to meet it. Edges are read twice.
     """
     at = edges_.withColumn("__span", F.floor(F.col("ord") / span))
-    own = F.row_number().over(Window.partitionBy("__span", *PAIR).orderBy("ord")) - 1
     counts = at.groupBy(*PAIR, "__span").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*PAIR).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1))
-    earlier = counts.withColumn("__before", before).where("__before > 0").select(*(F.col(c).alias(f"__{c}") for c in PAIR), F.col("__span").alias("__s"), "__before")
-    same = F.col("__span") == F.col("__s")
-    for c in PAIR:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    ranked = at.withColumn("__own", own).join(earlier, same, "left")
-    return ranked.select(*edges_.columns, (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("long").alias("rank"))
+    earlier = counts.withColumn("__add", before).where("__add > 0").select(*PAIR, "__span", "__add", F.lit(False).alias("__trip"))
+    rows = at.withColumns({"__add": F.lit(1).cast("long"), "__trip": F.lit(True)}).unionByName(earlier, allowMissingColumns=True)
+    upto = Window.partitionBy("__span", *PAIR).orderBy("__trip", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("rank", F.sum("__add").over(upto) - 1).where("__trip")
+    return ranked.select(*edges_.columns, "rank")
 
 
 def pair_counts(edges_: DataFrame) -> DataFrame:

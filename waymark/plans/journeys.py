@@ -13,16 +13,16 @@ from waymark.operators import network as N
 BRANCHES = {"train": (0, 1), "flight": (2, 3)}
 
 
-def layer_edges(trips: DataFrame, places: DataFrame, layer: str, strict: bool = True, stops: DataFrame | None = None) -> DataFrame:
+def layer_edges(trips: DataFrame, places: DataFrame, layer: str, strict: bool = True, stops: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Edges of a layer with rank, curveness, symbol, period and tooltip.
 
-    trips: ``layer, ord, code, time, information`` and, without stops, ``route``. strict: fail on a
-    trip that begins or ends at an unknown place.
+    trips: ``layer, ord, code, time, information`` and, without stops or ends, ``route``. strict: fail on a
+    trip that begins or ends at an unknown place. ends: what :func:`network.trip_ends` gives, where it has been kept.
     """
-    e = N.edges(N.stops_of(trips) if stops is None else stops, places)
+    e = N.edges_of(N.trip_ends(N.stops_of(trips) if stops is None else stops, places) if ends is None else ends)
     e = N.edge_rank(N.check_ends(e) if strict else e)
     symbol = S.train_symbol if layer == "train" else S.flight_symbol
-    return e.join(trips.select(*N.TRIP, "code", "time", "information"), list(N.TRIP)).select(
+    return e.join(trips.select(*N.TRIP, "code", "time", "information"), list(N.BY)).select(
         *N.TRIP, "code", "time", "start_name", "end_name", "information", "start_lng", "start_lat", "end_lng", "end_lat", "rank",
         S.curveness(F.col("rank")).alias("curveness"),
         symbol(F.col("code"), F.col("start_lng"), F.col("end_lng")).alias("symbol"),
@@ -31,9 +31,9 @@ def layer_edges(trips: DataFrame, places: DataFrame, layer: str, strict: bool =
     )
 
 
-def layer_markers(stops: DataFrame, places: DataFrame) -> DataFrame:
-    """Used places with count, size and, as their tooltip, the name."""
-    m = N.markers(places, N.endpoint_counts(stops))
+def layer_markers(stops: DataFrame | None, places: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Used places with count, size and, as their tooltip, the name; ends: as in :func:`layer_edges`."""
+    m = N.markers(places, N.endpoint_counts(stops) if ends is None else N.counts_of(ends))
     return m.withColumns({"symbol_size": S.marker_size(F.col("cnt")), "tooltip": F.col("name")})
 
 

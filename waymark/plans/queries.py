@@ -22,6 +22,8 @@ RAIL, AIR = "train", "flight"
 AIR_PLACES = [("click", 10.0, 1.0), ("purchase", 12.0, 2.0), ("signup", 9.0, 3.0), ("view", 11.0, 4.0)]
 #: Nations from the 21st on have a name that the palette lacks, and most colours belong to no nation.
 COLOURED = 20
+#: Places (some 100 bytes each) up to which they are broadcast; to more of them stops go by a shuffle.
+FEW_PLACES = 500_000
 SYMBOL_CASES = [("G1", 1.0), ("g1", 1.0), ("G1", -1.0), ("G1", 0.0), ("D1", -1.0), ("C1", -1.0), ("K1", 1.0), ("Y1", 1.0), ("Z1", -1.0), ("T1", -1.0), ("1234", -1.0), (None, 1.0), ("", -1.0)]
 
 
@@ -37,9 +39,11 @@ def rail_stops(spark: SparkSession, d: str) -> DataFrame:
 
 def rail_places(spark: SparkSession, d: str) -> DataFrame:
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    return s.where("s_suppkey % 7 <> 0").join(n, s.s_nationkey == n.n_nationkey).select(
+    places = s.where("s_suppkey % 7 <> 0").join(n, s.s_nationkey == n.n_nationkey).select(
         F.lit(RAIL).alias("layer"), F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("double").alias("lng"), F.col("n_regionkey").cast("double").alias("lat")
     )
+    # Spark takes a join for as large as the product of its sides, and would move all stops to meet a few places.
+    return F.broadcast(places) if s.count() <= FEW_PLACES else places
 
 
 def rail_trips(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +58,7 @@ def air_stops(spark: SparkSession, d: str) -> DataFrame:
 
 def air_places(spark: SparkSession) -> DataFrame:
     p = spark.createDataFrame(AIR_PLACES, "code string, lng double, lat double")
-    return p.select(F.lit(AIR).alias("layer"), "code", F.upper("code").alias("name"), "lng", "lat")
+    return F.broadcast(p.select(F.lit(AIR).alias("layer"), "code", F.upper("code").alias("name"), "lng", "lat"))
 
 
 def air_trips(spark: SparkSession, d: str) -> DataFrame:
@@ -63,17 +67,29 @@ def air_trips(spark: SparkSession, d: str) -> DataFrame:
     return users.select(F.lit(AIR).alias("layer"), "ord", code.alias("code"), F.lit("").alias("time"), F.lit(None).cast("string").alias("information"))
 
 
-def _parts(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
-    rs, rp, as_, ap = rail_stops(spark, d), rail_places(spark, d), air_stops(spark, d), air_places(spark)
-    return {
-        RAIL: (J.layer_edges(rail_trips(spark, d), rp, RAIL, strict=False, stops=rs), J.layer_markers(rs, rp).withColumn("code", F.col("code").cast("string"))),
-        AIR: (J.layer_edges(air_trips(spark, d), ap, AIR, strict=False, stops=as_), J.layer_markers(as_, ap)),
-    }
+def _kept(df: DataFrame, layer: str) -> DataFrame:
+    """A layer's rows as a table in the shared folder, for what is read more than once; later steps read only the columns they need."""
+    own = df.drop("layer")
+    folder = _folder(df.sparkSession, "kept")
+    own.write.parquet(folder)
+    return df.sparkSession.read.schema(own.schema).parquet(folder).select(F.lit(layer).alias("layer"), "*")
+
+
+def _parts(spark: SparkSession, d: str, layer: str = "all") -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Edges and markers of each layer. The ends of trips are computed once for both, in a chosen layer: others are planned only."""
+    out = {}
+    for name, stops, places, trips in ((RAIL, rail_stops(spark, d), rail_places(spark, d), rail_trips(spark, d)), (AIR, air_stops(spark, d), air_places(spark), air_trips(spark, d))):
+        ends = N.trip_ends(stops, places)
+        if layer in ("all", name):
+            ends = _kept(ends, name)
+        markers = J.layer_markers(None, places, ends)
+        out[name] = (J.layer_edges(trips, places, name, strict=False, ends=ends), markers.withColumn("code", F.col("code").cast("string")))
+    return out
 
 
 def _layer(layer: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        c = J.combine({k: tuple(x.withColumn("id", F.col("ord" if "ord" in x.columns else "code").cast("string")) for x in v) for k, v in _parts(spark, d).items()}, layer)
+        c = J.combine({k: tuple(x.withColumn("id", F.col("ord" if "ord" in x.columns else "code").cast("string")) for x in v) for k, v in _parts(spark, d, layer).items()}, layer)
         return c.select("branch", "id", F.round("curveness", 6).alias("curveness"), F.round("symbol_size", 6).alias("symbol_size"), "rank", "cnt", "symbol")
 
     return query
@@ -100,7 +116,7 @@ def edges(spark, d):
 
 
 def edge_rank_curveness(spark, d):
-    e = N.edge_rank(_rail_edges(spark, d))
+    e = N.edge_rank(_kept(_rail_edges(spark, d).select(*N.TRIP, *N.PAIR[1:]), RAIL))
     return e.select("ord", "rank", S.curveness(F.col("rank")).alias("curveness"))
 
 
@@ -111,17 +127,17 @@ def pair_counts(spark, d):
 def edge_direction_symbol(spark, d):
     """The priority's first digit stands for the letter of a train's code."""
     letter = F.get(F.array(*map(F.lit, ("", "G", "D", "K", "T", "C"))), F.substring("code", 1, 1).cast("int"))
-    e = _rail_edges(spark, d).join(rail_trips(spark, d), list(N.TRIP)).withColumn("letter", letter)
+    e = _rail_edges(spark, d).join(rail_trips(spark, d), list(N.BY)).withColumn("letter", letter)
     return e.select("ord", "letter", S.train_symbol(F.col("letter"), F.col("start_lng"), F.col("end_lng")).alias("symbol"))
 
 
 def air_symbol(spark, d):
-    e = N.edges(air_stops(spark, d), air_places(spark)).join(air_trips(spark, d), list(N.TRIP))
+    e = N.edges(air_stops(spark, d), air_places(spark)).join(air_trips(spark, d), list(N.BY))
     return e.select("ord", S.flight_symbol(F.col("code"), F.col("start_lng"), F.col("end_lng")).alias("symbol"))
 
 
 def edge_tooltip(spark, d):
-    e = _rail_edges(spark, d).join(rail_trips(spark, d), list(N.TRIP))
+    e = _rail_edges(spark, d).join(rail_trips(spark, d), list(N.BY))
     return e.select("ord", S.tooltip(F.col("code"), F.col("time"), F.col("start_name"), F.col("end_name"), F.col("information")).alias("tooltip"))
 
 

@@ -39,3 +39,10 @@ def test_places_are_broadcast(spark):
     """A few places meet the stops where these are."""
     plan = N.trip_ends(J.rail_stops(spark, D), J.rail_places(spark, D))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_hover_text_ranks_nothing(spark):
+    """Texts need no rank, so none is made, and stops are read once."""
+    out = J.hover_text(spark, D)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in out.inputFiles() if "lineitem" in f]

@@ -46,3 +46,17 @@ def test_hover_text_ranks_nothing(spark):
     out = J.hover_text(spark, D)
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_ends_are_hashed(spark):
+    """No stop is sorted to find the ends of trips, and names are not moved with stops."""
+    stops, places = J.rail_stops(spark, D), J.rail_places(spark, D)
+    for df in (N.endpoint_counts(stops), N.end_stops(stops, places)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan and "s_name" not in plan
+
+
+def test_hover_text_reads_no_python_rows(spark):
+    """Places of the plan's own are no list that Python workers read."""
+    plan = J.hover_text(spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan

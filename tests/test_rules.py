@@ -134,6 +134,27 @@ def test_ends_of_odd_stops(spark):
     assert key(N.counts_of(ends)) == key(N.endpoint_counts(stops))
 
 
+def test_ends_by_numbers(spark):
+    """Where pos and stop are whole numbers the ends are those that rows in order give, with nulls, signs and codes that come twice,
+    and where the numbers need more than 63 bits too."""
+    places = spark.createDataFrame([("train", c, n, x, y) for c, n, x, y in [(1, "A", 1.0, 2.0), (2, "B", 3.0, 4.0), (2, "C", 0.0, 9.0), (-3, None, 5.0, 6.0), (2**40, "E", 7.0, 8.0)]], "layer string, code long, name string, lng double, lat double")
+    pick = lambda i, j, *of: of[(i * 7 + j * 5 + i * j) % len(of)]
+    rows = [("train", i, (pick(i, j, 0, None, -5, 2, 2), pick(j, i, 7, -(2**30), None)) if pick(i, j, *range(11)) else None, pick(i, j, 1, 2, -3, None, 2**40, 9)) for i in range(60) for j in range(i % 6)]
+    for more in ([], [("train", 99, (1, -(2**63)), 1), ("train", 99, (1, 2**63 - 1), 2)]):
+        stops = spark.createDataFrame(rows + more, "layer string, ord long, pos struct<p: int, q: long>, stop long")
+        within = stops.withColumn("pos", F.when(F.col("pos").isNotNull(), F.struct("pos.p", "pos.q", F.col("stop").alias("r"))))
+        # A text in pos cannot be made a number of.
+        by_rows = stops.withColumn("pos", F.when(F.col("pos").isNotNull(), F.struct("pos.p", "pos.q", F.lit(""))))
+        plain = lambda df: sorted(map(str, df.collect()))
+        want = plain(N.trip_ends(by_rows, places))
+        assert want == plain(N.trip_ends(stops, places)) == plain(N.trip_ends(within, places))
+        assert plain(N.endpoint_counts(by_rows)) == plain(N.endpoint_counts(stops)) == plain(N.endpoint_counts(within))
+        one = N.trip_ends(stops.drop("layer"), places.drop("layer"))
+        assert want == plain(one.select(F.lit("train").alias("layer"), "*"))
+    none = N.trip_ends(stops.where("false"), places)
+    assert none.count() == 0 and N.endpoint_counts(stops.where("false")).count() == 0
+
+
 def test_regions_in_a_script(spark, tmp_path):
     ring = [[0, 0], [1, 0], [0, 1], [0, 0]]
     feature = lambda kind, c: {"type": "Feature", "properties": {"id": "1", "name": "n)", "cp": [0, 1], "childNum": 1}, "geometry": {"type": kind, "coordinates": c}}

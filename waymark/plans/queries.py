@@ -57,7 +57,8 @@ def air_stops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def air_places(spark: SparkSession) -> DataFrame:
-    p = spark.createDataFrame(AIR_PLACES, "code string, lng double, lat double")
+    # A relation of the plan itself: a list would be read by Python workers wherever it is joined.
+    p = spark.sql(f"SELECT * FROM VALUES {', '.join(f'({c!r}, {x}D, {y}D)' for c, x, y in AIR_PLACES)} AS p(code, lng, lat)")
     return F.broadcast(p.select(F.lit(AIR).alias("layer"), "code", F.upper("code").alias("name"), "lng", "lat"))
 
 
@@ -79,10 +80,11 @@ def _parts(spark: SparkSession, d: str, layer: str = "all") -> dict[str, tuple[D
     """Edges and markers of each layer. The ends of trips are computed once for both, in a chosen layer: others are planned only."""
     out = {}
     for name, stops, places, trips in ((RAIL, rail_stops(spark, d), rail_places(spark, d), rail_trips(spark, d)), (AIR, air_stops(spark, d), air_places(spark), air_trips(spark, d))):
-        ends = N.trip_ends(stops, places)
+        found = N.end_stops(stops.drop("layer"), places.drop("layer"))
         if layer in ("all", name):
-            ends = _kept(ends, name)
-        markers = J.layer_markers(None, places, ends)
+            found = _kept(found, name).drop("layer")
+        markers = J.layer_markers(None, places, found.withColumn("layer", F.lit(name)))
+        ends = N.placed(found, places.drop("layer")).withColumn("layer", F.lit(name))
         out[name] = (J.layer_edges(trips, places, name, strict=False, ends=ends), markers.withColumn("code", F.col("code").cast("string")))
     return out
 
